@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions.text import (
     SPACE,
-    is_empty,
     is_unknown,
     number,
     or_unknown,
@@ -38,6 +37,15 @@ def or_no_items(arr: Column, item_type: str = "string") -> Column:
     return F.coalesce(arr, F.array().cast(f"array<{item_type}>"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    A plain expression that mentions a value ten times holds ten copies of it as
+    soon as the optimizer moves it into a filter.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_cvss(cvss: Column) -> Column:
     """Defaults for missing parts, then the first item per (version, score)."""
 
@@ -60,7 +68,12 @@ def clean_cvss(cvss: Column) -> Column:
 def first_per_key(arr: Column, key) -> Column:
     """Keep the first element per key inside one array, in order."""
     keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(
+        F.struct(arr.alias("items"), keys.alias("keys")),
+        lambda r: F.filter(
+            r["items"], lambda x, i: F.array_position(r["keys"], F.get(r["keys"], i)) == i + 1
+        ),
+    )
 
 
 def parse_cwe(cwe: Column) -> Column:
@@ -105,7 +118,7 @@ def joined(arr: Column) -> Column:
 
 def split_pipes(arr: Column) -> Column:
     """Elements that hold a pipe themselves count as several."""
-    return F.when(F.size(arr) > 0, F.split(joined(arr), r"\|")).otherwise(arr)
+    return let(arr, lambda a: F.when(F.size(a) > 0, F.split(joined(a), r"\|")).otherwise(a))
 
 
 def clean_cwe_names(names: Column) -> Column:
@@ -114,9 +127,14 @@ def clean_cwe_names(names: Column) -> Column:
     return F.filter(bare, lambda x: x != "")
 
 
-def _at_version(values: Column, versions: Column, version: str) -> Column:
-    position = F.array_position(versions, F.lit(version)).cast("int")
-    return F.when(position > 0, F.get(values, position - 1))
+def _preferred(values: Column, versions: Column, order: Sequence[str]) -> Column:
+    """The value at the first place of the best-liked version."""
+    ranks = F.array(*[F.lit(v) for v in order])
+    places = F.transform(
+        versions, lambda v, i: F.struct(F.array_position(ranks, v).alias("rank"), i.alias("i"))
+    )
+    best = F.array_min(F.filter(places, lambda p: p["rank"] > 0))
+    return F.get(values, best["i"])
 
 
 def best_score(
@@ -126,9 +144,13 @@ def best_score(
 
     Versions and scores belong together only when both lists are equally long.
     """
-    aligned = F.size(score_list) == F.size(versions)
-    preferred = F.coalesce(*[_at_version(score_list, versions, v) for v in order])
-    return F.coalesce(F.when(aligned, preferred), F.get(score_list, F.lit(0)))
+
+    def pick(r: Column) -> Column:
+        aligned = F.size(r["scores"]) == F.size(r["versions"])
+        preferred = F.when(aligned, _preferred(r["scores"], r["versions"], order))
+        return F.coalesce(preferred, F.get(r["scores"], F.lit(0)))
+
+    return let(F.struct(score_list.alias("scores"), versions.alias("versions")), pick)
 
 
 def best_severity(
@@ -140,12 +162,22 @@ def best_severity(
 ) -> Column:
     """Severity of the first preferred version when all three lists are equally
     long, else the highest known level, else the first severity."""
-    aligned = (F.size(severity_list) == F.size(versions)) & (
-        F.size(severity_list) == F.size(score_list)
+
+    def pick(r: Column) -> Column:
+        size = F.size(r["severities"])
+        aligned = (size == F.size(r["versions"])) & (size == r["n_scores"])
+        preferred = F.when(aligned, _preferred(r["severities"], r["versions"], order))
+        highest = [
+            F.when(F.array_contains(r["severities"], x), F.lit(x)) for x in reversed(levels)
+        ]
+        return F.coalesce(preferred, *highest, F.get(r["severities"], F.lit(0)))
+
+    lists = F.struct(
+        severity_list.alias("severities"),
+        versions.alias("versions"),
+        F.size(score_list).alias("n_scores"),
     )
-    preferred = F.coalesce(*[_at_version(severity_list, versions, v) for v in order])
-    highest = [F.when(F.array_contains(severity_list, x), F.lit(x)) for x in reversed(levels)]
-    return F.coalesce(F.when(aligned, preferred), *highest, F.get(severity_list, F.lit(0)))
+    return let(lists, pick)
 
 
 def top_score(cvss: Column) -> Column:
@@ -161,7 +193,3 @@ def top_score(cvss: Column) -> Column:
 
 def first_or_null(arr: Column, index: int = 0) -> Column:
     return F.get(arr, F.lit(index))
-
-
-def filled(arr: Column) -> Column:
-    return ~is_empty(joined(arr))

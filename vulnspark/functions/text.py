@@ -23,7 +23,7 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 CASED_RUN = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]+"
-DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+DECIMAL = rf"^{SPACE}*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?{SPACE}*$"
 
 UNKNOWN = "unknown"
 
@@ -123,8 +123,7 @@ def attack_name(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """Text to double, null where the text is not a plain decimal number."""
-    text = strip(c)
-    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
+    return F.when(c.rlike(DECIMAL), strip(c).try_cast("double"))
 
 
 def fixed(c: Column, decimals: int) -> Column:
@@ -150,5 +149,5 @@ def is_unknown(c: Column) -> Column:
 
 def one_of_levels(c: Column, levels: Sequence[str]) -> Column:
     """1-based rank of a level in a fixed order, null when it is none of them."""
-    position = F.array_position(F.array(*[F.lit(x) for x in levels]), c)
-    return F.when(position > 0, position.cast("int"))
+    ranks = [F.lit(x) for pair in zip(levels, range(1, len(levels) + 1)) for x in pair]
+    return F.try_element_at(F.create_map(*ranks), c)

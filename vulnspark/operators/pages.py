@@ -20,6 +20,7 @@ from vulnspark import schemas
 from vulnspark.functions.nested import first_or_null, or_no_items
 from vulnspark.functions.text import strip
 from vulnspark.operators.dedup import cap_per_group
+from vulnspark.sources.scan import spread
 
 # The search terms advisories are collected under, and the limits
 # on what is collected per term.
@@ -138,7 +139,7 @@ def list_elements(
                 [*columns, pa.array(lists, pa.list_(item))], [*names, output]
             )
 
-    return pages.select(*names, html).mapInArrow(run, schema)
+    return spread(pages.select(*names, html)).mapInArrow(run, schema)
 
 
 # -- choosing elements ----------------------------------------------------------

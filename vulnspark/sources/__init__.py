@@ -3,6 +3,7 @@
 from vulnspark.sources.ordering import DOC_ORDER, with_document_order
 from vulnspark.sources.records import read_records, write_records
 from vulnspark.sources.robots import disallowed_paths
+from vulnspark.sources.scan import spread
 from vulnspark.sources.xml import read_xml, write_xml
 
 __all__ = [
@@ -10,6 +11,7 @@ __all__ = [
     "disallowed_paths",
     "read_records",
     "read_xml",
+    "spread",
     "with_document_order",
     "write_records",
     "write_xml",

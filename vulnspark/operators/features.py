@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vulnspark import schemas
 from vulnspark.functions import nested, text
+from vulnspark.operators.computed import where_computed
 from vulnspark.operators.dedup import keep_last
 
 
@@ -61,7 +62,7 @@ def picked_severity() -> Column:
 
 
 def add_features(flat: DataFrame) -> DataFrame:
-    """The derived columns of the feature table, in its final order."""
+    """The remaining derived columns of the feature table, in its final order."""
     c = F.col
     versions = nested.split_pipes(c("cvss_versions"))
     ids = nested.split_pipes(c("cwe_ids"))
@@ -72,7 +73,6 @@ def add_features(flat: DataFrame) -> DataFrame:
         text.iso_date(c("published")).alias("published_dt"),
         text.iso_date(c("last_modified")).alias("last_modified_dt"),
         nested.best_score(c("cvss_scores"), versions).alias("cvss_score"),
-        picked_severity().alias("severity_level"),
     )
     return base.select(
         *[c(x) for x in flat.columns if x.startswith("_")],
@@ -103,14 +103,10 @@ def build_features(nested_rows: DataFrame, order: Sequence[str]) -> DataFrame:
     Only the vendor is normalised ahead of the exchange because a filter needs
     it; the text work runs on the surviving rows.
     """
-    known = (
-        flatten(nested_rows)
-        .where(~has_unknown(UNKNOWN_CHECKED))
-        .withColumn("vendor_clean", normalized_vendor())
-        .where(~text.is_unknown(F.col("vendor_clean")))
-    )
-    latest = keep_last(known, ["cve_id"], order)
-    rated = latest.where(~is_blank_severity(picked_severity()))
+    named = flatten(nested_rows).withColumn("vendor_clean", normalized_vendor())
+    known = where_computed(named, ~has_unknown([*UNKNOWN_CHECKED, "vendor_clean"]))
+    latest = keep_last(known, ["cve_id"], order).withColumn("severity_level", picked_severity())
+    rated = where_computed(latest, ~is_blank_severity(F.col("severity_level")))
     return add_features(rated).select(*schemas.FEATURES.fieldNames())
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnspark.operators.computed import where_computed
 from vulnspark.sources.ordering import DOC_ORDER, document_order_columns
 
 CORRUPT = "_corrupt_record"
@@ -62,14 +63,14 @@ def read_xml(
         raise ValueError(f"unknown on_error {on_error!r}")
 
     latin_files = undecodable_files(spark, path) if encoding == "auto" else []
+    opening = rf"<{row_tag}(?=[\s/>])"
     pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    order_columns = document_order_columns() if order else []
-    pieces = pieces.select(
+    pieces = pieces.where(F.col("value").rlike(opening)).select(
         F.regexp_extract(
-            _decoded(F.col("value"), encoding, latin_files), rf"(?s)<{row_tag}(?=[\s/>]).*", 0
+            _decoded(F.col("value"), encoding, latin_files), f"(?s){opening}.*", 0
         ).alias("record"),
-        *order_columns,
-    ).where(F.col("record") != "")
+        *(document_order_columns() if order else []),
+    )
 
     target, options = schema, {"rowTag": row_tag, "mode": "FAILFAST"}
     if on_error != "fail":
@@ -77,7 +78,8 @@ def read_xml(
         options = {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_xml(F.concat("record", F.lit(f"</{row_tag}>")), target, options)
     kept_order = [F.col(c) for c in DOC_ORDER] if order else []
-    rows = pieces.select(parsed.alias("r"), *kept_order).select("r.*", *kept_order)
+    parsed_once = where_computed(pieces.select(parsed.alias("r"), *kept_order), F.col("r").isNotNull())
+    rows = parsed_once.select("r.*", *kept_order)
 
     if on_error == "drop":
         return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

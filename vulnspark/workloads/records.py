@@ -4,8 +4,14 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions import nested, text
 from vulnspark.operators.cleaning import clean_records, cwe_or_unknown
+from vulnspark.operators.computed import where_computed
 from vulnspark.operators.dedup import cap_per_group, keep_last
-from vulnspark.operators.features import build_features, flatten, quality_report, to_feature_xml
+from vulnspark.operators.features import (
+    build_features,
+    is_blank_severity,
+    quality_report,
+    to_feature_xml,
+)
 from vulnspark.operators.pages import tag_and_union
 from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.stats import summary, value_counts
@@ -132,7 +138,8 @@ def pick_best_score(spark, sf_dir):
 def pick_best_severity(spark, sf_dir):
     best = nested.best_severity(F.col("severities"), F.col("versions"), F.col("scores"))
     rows = _lists(spark, sf_dir).select("row_key", best.alias("severity_level"))
-    return rows.where(F.col("severity_level").isNotNull()).withColumn(
+    rated = where_computed(rows, ~is_blank_severity(F.col("severity_level")))
+    return rated.withColumn(
         "severity_numeric", text.one_of_levels(F.col("severity_level"), nested.SEVERITIES)
     )
 

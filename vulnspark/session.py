@@ -20,20 +20,26 @@ def local_session(cpus: int | str = "*", app: str = "vulnspark") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
 
+_local_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder the cluster names for checkpoints.
 
-    Tables written here survive the loss of an executor. Only where the session
-    names no folder (a local run) does a temporary one take its place.
+    Tables written there survive the loss of an executor; whoever writes one owns
+    it. Only where the session names no folder (a local run) does a temporary one
+    take its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="vulnspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="vulnspark-"))
+        base = _local_scratch[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

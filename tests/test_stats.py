@@ -48,7 +48,7 @@ def test_describe_edges(spark):
     assert row["count"] == 0 and row["mean"] is None and row["p50"] is None
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(-50, 50).map(lambda i: i / 4), min_size=2, max_size=40))
 def test_describe_property(spark, values):
     check_describe(spark, values)

@@ -75,8 +75,8 @@ def clean_title(c: Column) -> Column:
 
 def flat_text(c: Column) -> Column:
     """Line breaks and tabs become blanks, blank runs shrink to one, ends are trimmed."""
-    one_line = F.regexp_replace(c, r"[\r\n\t]+", " ")
-    return F.coalesce(strip(F.regexp_replace(one_line, " {2,}", " ")), F.lit(""))
+    runs = r"[\r\n\t][ \r\n\t]*| [ \r\n\t]+"
+    return F.coalesce(strip(F.regexp_replace(c, runs, " ")), F.lit(""))
 
 
 def vendor_name(c: Column) -> Column:
@@ -144,7 +144,8 @@ def present_or(c: Column, default: str) -> Column:
 
 
 def is_unknown(c: Column) -> Column:
-    return F.coalesce(F.lower(c) == UNKNOWN, F.lit(False))
+    # The length comes first: a long text is not worth its lower-case copy.
+    return F.coalesce((F.length(c) == len(UNKNOWN)) & (F.lower(c) == UNKNOWN), F.lit(False))
 
 
 def one_of_levels(c: Column, levels: Sequence[str]) -> Column:

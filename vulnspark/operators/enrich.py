@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vulnspark.sources.scan import spread
+
 FAILED = "Error generating explanation."
 
 INSTRUCTIONS = (
@@ -39,7 +41,8 @@ def explain(
     rate limits belong inside it. If a batch fails its prompts are tried one by
     one, so a bad row costs only its own answer.
     """
-    staged = df.withColumn(output, prompt_text)
+    # A limit leaves one partition; the calls to the model should not queue up in it.
+    staged = spread(df).withColumn(output, prompt_text)
     schema = T.StructType(
         [f for f in staged.schema.fields if f.name != output] + [T.StructField(output, T.StringType())]
     )
@@ -47,11 +50,10 @@ def explain(
     def answers(prompts: list[str]) -> list[str]:
         try:
             out = [a.strip() for a in predict(prompts)]
-            if len(out) == len(prompts):
-                return out
         except Exception:
-            if len(prompts) == 1:
-                return [FAILED]
+            out = []
+        if len(out) == len(prompts):
+            return out
         if len(prompts) == 1:
             return [FAILED]
         return [answers([p])[0] for p in prompts]

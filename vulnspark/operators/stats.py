@@ -212,9 +212,8 @@ def describe(
             (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         )
     ).scalar()
-    moments = pairs.agg(
-        F.sum(F.col("n") * (F.col("v") - total["mean"]) * (F.col("v") - total["mean"]))
-    ).scalar()
+    deviation = pairs.select("n", (F.col("v") - total["mean"]).alias("d"))
+    moments = deviation.agg(F.sum(F.col("n") * F.col("d") * F.col("d"))).scalar()
 
     positions = [F.lit(float(q)) * (total["n"] - 1) for q in quantiles]
     ranks = F.array(*[f(p).cast("long") for p in positions for f in (F.floor, F.ceil)])

@@ -19,8 +19,8 @@ TARGET_ATTACKS = ("buffer overflow", "sql injection", "prompt injection", "cross
 EXPLAIN_LIMIT = 200
 
 
-def dashboard(
-    feature_xml: DataFrame,
+def panels(
+    shown: DataFrame,
     severities: Sequence[str] = filters.DEFAULT_SEVERITIES,
     attack_types: Sequence[str] = (),
     minimum: float = 0.0,
@@ -28,13 +28,11 @@ def dashboard(
     top_k: int | None = 25,
     stop_words: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All panels of the dashboard over the filtered rows.
+    """All panels over the filtered rows of a dashboard view.
 
-    Persist ``feature_xml`` (or read it from Parquet) before asking for several panels.
+    Persist the view, or keep it as Parquet, before asking for several panels.
     """
-    rows = filters.dashboard_filter(
-        dashboard_view(feature_xml), severities, attack_types, minimum
-    )
+    rows = filters.dashboard_filter(shown, severities, attack_types, minimum)
     return {
         "rows": rows,
         "key_figures": stats.key_figures(rows, "severity", "cvss_score"),
@@ -48,6 +46,11 @@ def dashboard(
     }
 
 
+def dashboard(feature_xml: DataFrame, **choices) -> dict[str, DataFrame]:
+    """``panels`` straight from the feature XML."""
+    return panels(dashboard_view(feature_xml), **choices)
+
+
 def eda_report(eda: DataFrame) -> dict[str, DataFrame]:
     """All tables of the exploratory report."""
     day = iso_date(F.col("published"))

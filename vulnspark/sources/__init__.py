@@ -1,6 +1,7 @@
 """Readers and writers."""
 
 from vulnspark.sources.ordering import DOC_ORDER, with_document_order
+from vulnspark.sources.pages import read_pages
 from vulnspark.sources.records import read_records, write_records
 from vulnspark.sources.robots import disallowed_paths
 from vulnspark.sources.scan import spread
@@ -9,6 +10,7 @@ from vulnspark.sources.xml import read_xml, write_xml
 __all__ = [
     "DOC_ORDER",
     "disallowed_paths",
+    "read_pages",
     "read_records",
     "read_xml",
     "spread",

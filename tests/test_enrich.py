@@ -13,17 +13,19 @@ def test_failures_cost_one_row(spark):
             raise RuntimeError("refused")
         return [f" {x} " for x in prompts]
 
-    df = spark.createDataFrame([("a",), ("bad",), ("b",)], "t string").coalesce(1)
-    found = enrich.explain(df, F.col("t"), model).collect()
-    assert [r.ai_explanation for r in found] == ["a", enrich.FAILED, "b"]
+    texts = [f"t{i}" for i in range(40)] + ["bad"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    found = {r.t: r.ai_explanation for r in enrich.explain(df, F.col("t"), model).collect()}
+    assert found == {t: t for t in texts} | {"bad": enrich.FAILED}
 
 
 def test_wrong_number_of_answers(spark):
-    df = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
+    texts = [f"t{i}" for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     found = enrich.explain(df, F.col("t"), lambda prompts: prompts[:1]).collect()
-    assert [r.ai_explanation for r in found] == ["a", "b"]
+    assert {r.t: r.ai_explanation for r in found} == {t: t for t in texts}
     found = enrich.explain(df, F.col("t"), lambda prompts: []).collect()
-    assert [r.ai_explanation for r in found] == [enrich.FAILED] * 2
+    assert [r.ai_explanation for r in found] == [enrich.FAILED] * 40
 
 
 def test_explanations(spark):

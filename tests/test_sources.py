@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from vulnspark import schemas
 from vulnspark.sources import DOC_ORDER, disallowed_paths, read_records, read_xml, write_records, write_xml

@@ -48,6 +48,23 @@ def test_quality_report_shuffles_counters_only(spark):
     assert "Window" not in text and "partial_" in text
 
 
+def test_building_a_plan_runs_no_job(spark):
+    from vulnspark.operators.features import to_feature_xml
+    from vulnspark.plans import collect_records, dashboard, explanations
+
+    table = raw_table(spark, ROWS)
+    pages = spark.createDataFrame([(1, "x", "<h1>")], "seq int, attack string, html string")
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        features = to_feature_xml(features_from_raw(table))
+        explanations(features, lambda prompts: prompts, ["cve_id"])
+        dashboard(features, query="some words")
+        collect_records(pages)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @needs_data
 def test_scans_are_pruned(spark):
     rows = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'click'").select("user_id", "event_id", "ts")

@@ -85,5 +85,8 @@ def explanations(
 ) -> DataFrame:
     """The first rows with a description, each with the model's explanation."""
     chosen = first_n(explanation_input(feature_xml), order, limit)
+    if limit:
+        # A limit leaves one partition; the calls to the model should not queue up in it.
+        chosen = chosen.repartition(chosen.sparkSession.sparkContext.defaultParallelism)
     text = enrich.prompt(F.col("cve_id"), F.col("attack_type"), F.col("description"))
     return enrich.explanation_rows(enrich.explain(chosen, text, predict))

@@ -3,11 +3,14 @@
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute the rows of an input that has fewer splits than there are task slots.
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute the rows of a file scan that has fewer splits than there are task slots.
+
+    For scans and projections of scans only: asking a plan with a shuffle for its
+    number of partitions would run the shuffle.
 
     A file with one row group is read by one task, whatever is done per row. An
     input of a size that matters has more splits than slots and stays as it is.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan

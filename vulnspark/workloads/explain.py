@@ -8,6 +8,7 @@ from vulnspark.operators.features import build_features, to_feature_xml
 from vulnspark.operators.cleaning import clean_records
 from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import explanation_input
+from vulnspark.sources.scan import spread
 from vulnspark.plans.consumers import EXPLAIN_LIMIT, explanations
 from vulnspark.workloads import records
 from vulnspark.workloads.base import table, workload
@@ -54,7 +55,7 @@ def preview80(spark, sf_dir):
           ELSE length({_PROMPT_SQL}) || ' characters' END AS ai_explanation FROM documents""",
 )
 def batch_explain_stub(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     prompt = enrich.prompt(F.col("doc_id").cast("string"), F.col("lang"), F.col("text"))
     return enrich.explain(docs, prompt, length_model).select("doc_id", "ai_explanation")
 

@@ -6,6 +6,7 @@ from vulnspark.functions.nested import first_or_null
 from vulnspark.operators import pages as page_ops
 from vulnspark.operators.stats import value_counts
 from vulnspark.plans.advisories import collect_records
+from vulnspark.sources.scan import spread
 from vulnspark.sources.robots import disallowed_paths
 from vulnspark.workloads import base
 from vulnspark.workloads.base import table, workload
@@ -74,7 +75,7 @@ def page_list_items(spark, sf_dir):
 def page_elements(spark, sf_dir):
     """The parsed element list of the stored pages, counted by tag."""
     parsed = page_ops.list_elements(
-        table(spark, sf_dir, "pages").select("page_id", "html"),
+        spread(table(spark, sf_dir, "pages").select("page_id", "html")),
         tags=("h1", "nav", "li"), text_tags=("h1", "li"),
     )
 
@@ -125,7 +126,7 @@ def advisory_pages(spark, sf_dir):
         table_markup, F.lit("</body></html>"),
     )
     attack = F.get(F.array(*[F.lit(a) for a in page_ops.ATTACK_TERMS]), (d % 4).cast("int"))
-    return table(spark, sf_dir, "documents").select(d.alias("seq"), attack.alias("attack"), html.alias("html"))
+    return spread(table(spark, sf_dir, "documents")).select(d.alias("seq"), attack.alias("attack"), html.alias("html"))
 
 
 _RECORD_SQL = f"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vulnspark.llm.decontamination import decontaminate
 from vulnspark.llm.registry import query, table
 from vulnspark.llm.sharding import ring_shards
+from vulnspark.llm.simhash import near_duplicates
 
 
 @query("op7_ring_sharding")
@@ -17,3 +19,51 @@ def ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION_SQL = f"""
+WITH items AS (SELECT item_id, {_SQL_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+),
+docs AS (SELECT doc_id, coalesce({_SQL_WORDS.format("text")}, []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs CROSS JOIN (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)
+),
+found AS (SELECT windows.*, item_id FROM windows JOIN grams USING (n, gram)),
+hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id
+),
+which AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN which USING (doc_id)
+"""
+
+
+@query("op4_decontamination", DECONTAMINATION_SQL)
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of every benchmark item, in every document."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op5_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, fingerprints linked at two bits or fewer."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )

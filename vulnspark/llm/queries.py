@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnspark.llm.decontamination import decontaminate
+from vulnspark.llm.exact_search import top_k
+from vulnspark.llm.packing import pack, token_pieces
 from vulnspark.llm.registry import query, table
 from vulnspark.llm.sharding import ring_shards
 from vulnspark.llm.simhash import near_duplicates
@@ -67,3 +69,44 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+EXACT_SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op6_exact_search", EXACT_SEARCH_SQL)
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every vector whose id is divisible by 20."""
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
+    whole = F.transform(x, lambda v: F.floor(v * 64).cast("long"))
+    vectors = table(spark, sf_dir, "embeddings").filter(finite).select(F.col("vec_id").alias("id"), whole.alias("v"))
+    return top_k(vectors, F.col("id") % 20 == 0, 20).withColumnRenamed("id", "vec_id")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents, cut only beyond 4096 tokens, in sequences of 4096."""
+    return pack(token_pieces(docs, ["doc_id"], tokenizer_path())).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op3_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))

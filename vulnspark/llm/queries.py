@@ -11,6 +11,7 @@ from vulnspark.llm.packing import pack, token_pieces
 from vulnspark.llm.registry import query, table
 from vulnspark.llm.sharding import ring_shards
 from vulnspark.llm.simhash import near_duplicates
+from vulnspark.llm.toxicity import Model, fit, score
 
 
 @query("op7_ring_sharding")
@@ -110,3 +111,22 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+def id_remainder(n: int):
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
+    """Learned from rows outside the held-out fifth only."""
+    labels = table(spark, sf_dir, "labels").filter(id_remainder(5) != 0)
+    return fit(docs, labels, "doc_id", "text", "toxic")
+
+
+@query("op10_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, toxicity_model(spark, sf_dir, docs), ["doc_id"]).select(
+        "doc_id", F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )

@@ -11,6 +11,7 @@ from vulnspark.llm.packing import pack, token_pieces
 from vulnspark.llm.registry import query, table
 from vulnspark.llm.sharding import ring_shards
 from vulnspark.llm.simhash import near_duplicates
+from vulnspark.llm.suffix_dedup import remove_repeats
 from vulnspark.llm.toxicity import Model, fit, score
 from vulnspark.llm.url_filter import judge_urls
 
@@ -139,3 +140,11 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 @query("op2_url_templates")
 def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op9_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -11,6 +11,7 @@ from vulnspark.llm.packing import pack, token_pieces
 from vulnspark.llm.registry import query, table
 from vulnspark.llm.sharding import ring_shards
 from vulnspark.llm.simhash import near_duplicates
+from vulnspark.llm.substring_dedup import remove_repeated_words
 from vulnspark.llm.suffix_dedup import remove_repeats
 from vulnspark.llm.toxicity import Model, fit, score
 from vulnspark.llm.url_filter import judge_urls
@@ -148,3 +149,28 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+SUBSTRING_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS path
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)
+),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY path) AS m FROM windows) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM later),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs) ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id
+),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_words(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -68,6 +68,12 @@ def subwords(found: list[bytes], settings: Settings) -> tuple[np.ndarray, np.nda
     return (np.concatenate(buckets)[order] % np.uint64(settings.buckets)).astype(np.int64), np.bincount(owner, minlength=len(found))
 
 
+def _all_subwords(found: list[bytes], settings: Settings, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of words, some at a time."""
+    parts = [subwords(found[a : a + step], settings) for a in range(0, len(found), step)]
+    return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([c for _, c in parts])
+
+
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = int(count.sum())
     return np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
@@ -103,8 +109,8 @@ class Model:
             cache.clear()
         split = [words(t) for t in texts]
         new = list({w for ws in split for w in ws if w not in cache})
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
             cache.update(zip(part, self.word_scores(part).tolist()))
         get = cache.__getitem__
         z = np.array([sum(map(get, ws)) / len(ws) if ws else 0.0 for ws in split])
@@ -129,7 +135,7 @@ def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
     bias[:] = np.log(np.maximum(share, 1e-3))
     if not vocabulary:
         return Model(settings, vectors, weights * 0, bias)
-    buckets, counts = subwords(list(vocabulary), settings)
+    buckets, counts = _all_subwords(list(vocabulary), settings)
     first = np.cumsum(counts) - counts
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, weights, bias)]
     step, total = 0, settings.epochs * -(-len(y) // settings.batch)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from vulnspark.llm.common import as_bytes, col, map_rows, stored
 
 PIECES = "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>"
-CACHE_WORDS = 400_000
+CACHE_WORDS, KEPT_WORDS = 600_000, 150_000
+# The splitting pattern of the tokenizer file: a fixed value.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SALTS = 64
 
 
@@ -23,37 +27,69 @@ SALTS = 64
 
 @dataclass
 class Words:
-    """Token ids of words, as bytes, kept over the batches of a task.
+    """Token ids of words, as bytes, kept over the batches of a worker.
 
     The tokenizer never joins what ASCII white space separates, so a text's ids are
-    those of its words in turn; each word is looked up once per task.
+    those of its words in turn; each word is looked up once. Nor does it
+    join the parts of a word (letters, a digit, other signs), so words of common
+    scripts are put together from their parts; all others are encoded whole.
     """
 
     path: str
     ids: dict[bytes, bytes] = field(default_factory=dict)
-    tokenizer: object = None
+    parts: dict[str, bytes] = field(default_factory=dict)
+    tools: tuple = ()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        if self.tokenizer is None:
+        if not self.tools:
+            import regex
             from tokenizers import Tokenizer
 
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
+            tokenizer = Tokenizer.from_file(self.path)
+            tokenizer.encode_special_tokens = True
+            # Letters of these blocks have one lower case, and none is a combining mark.
+            self.tools = tokenizer, regex.compile(PARTS), regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u012F\u0132-\u017F]+")
+        for known in (self.ids, self.parts):
+            if len(known) > CACHE_WORDS:  # frequent words came first
+                first = list(islice(known.items(), KEPT_WORDS))
+                known.clear()
+                known.update(first)
         split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.ids})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        self._learn(list({w for ws in split for w in ws if w not in self.ids}))
         get = self.ids.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
-
-def _cut(state: Words, end: bytes, most: int, with_ids: bool, texts: pa.Array) -> list:
+    def _learn(self, words: list[bytes]) -> None:
+        tokenizer, parts, plain = self.tools
+        cut, whole = [], []
+        for w in words:
+            text = w.decode()
+            (cut if plain.fullmatch(text) else whole).append((w, text))
+        for a in range(0, len(whole), 20_000):
+            some = whole[a : a + 20_000]
+            found = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(some, found))
+        cut = [(w, parts.findall(t.lower())) for w, t in cut]
+        new = list({p for _, ps in cut for p in ps if p not in self.parts})
+        # One text of many parts takes a fraction of the time of as many texts.
+        some_of = [new[a : a + 200] for a in range(0, len(new), 200)]
+        for some, e in zip(some_of, tokenizer.encode_batch_fast(some_of, is_pretokenized=True, add_special_tokens=False)):
+            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.searchsorted(of, np.arange(len(some)), "right").tolist()
+            flat = ids.tobytes()
+            self.parts.update((p, flat[4 * x : 4 * y]) for p, x, y in zip(some, [0, *ends], ends))
+        get = self.parts.__getitem__
+        self.ids.update((w, b"".join(map(get, ps))) for w, ps in cut)
+
+
+def _kept_words(path: str) -> Words:
+    """One per Python worker: later tasks of the worker find the words of earlier ones."""
+    return vars(sys).setdefault("_token_words", {}).setdefault(path, Words(path))
+
+
+def _cut(path: str, end: bytes, most: int, with_ids: bool, texts: pa.Array) -> list:
     out = []
-    for ids in state.of(as_bytes(texts)):
+    for ids in _kept_words(path).of(as_bytes(texts)):
         ids += end
         n = len(ids) // 4
         out.append(
@@ -77,9 +113,8 @@ def token_pieces(
     A document's ids end with ``end_id``; only one of more than ``most`` ids is cut.
     ``tokenizer`` is the path of a tokenizers file, which must split at white space.
     """
-    state = Words(tokenizer)
     end = np.array([end_id], "<u4").tobytes()
-    cut = map_rows(docs, [text_col], keep, PIECES, lambda texts: _cut(state, end, most, ids, texts))
+    cut = map_rows(docs, [text_col], keep, PIECES, lambda texts: _cut(tokenizer, end, most, ids, texts))
     flat = cut.withColumn("p", F.explode("pieces")).select(*(col(c) for c in keep if c.lower() != "pieces"), "p.*")
     return flat if ids else flat.drop("ids")
 

@@ -73,7 +73,7 @@ class Words:
         new = list({p for _, ps in cut for p in ps if p not in self.parts})
         # One text of many parts takes a fraction of the time of as many texts.
         some_of = [new[a : a + 200] for a in range(0, len(new), 200)]
-        for some, e in zip(some_of, tokenizer.encode_batch_fast(some_of, is_pretokenized=True, add_special_tokens=False)):
+        for some, e in zip(some_of, tokenizer.encode_batch(some_of, is_pretokenized=True, add_special_tokens=False)):
             ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
             ends = np.searchsorted(of, np.arange(len(some)), "right").tolist()
             flat = ids.tobytes()

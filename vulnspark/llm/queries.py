@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vulnspark.llm.decontamination import decontaminate
 from vulnspark.llm.exact_search import top_k
 from vulnspark.llm.packing import pack, token_pieces
+from vulnspark.llm import pitman_yor
 from vulnspark.llm.registry import query, table
 from vulnspark.llm.sharding import ring_shards
 from vulnspark.llm.simhash import near_duplicates
@@ -174,3 +175,15 @@ FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_words(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_pitman_yor")
+def pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(7) == 2, F.lit(False))
+    model, words = pitman_yor.fit(docs.filter(~held_out))
+    scored = pitman_yor.score(docs, model, words, ["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from vulnspark.llm.common import stored
 
 # A cell multiplies a pack of queries with a pack of candidates.
-PACK_ROWS = 4096
+PACK_ROWS = 8192
 QUERY_ROWS = 1024
 
 ENTRY = "q bigint, c bigint, id bigint, list int, s bigint"
+NAMED = "qp int, cp int, named binary"
 
 
 def _pack_of(row: str, packs: int) -> Column:
@@ -68,6 +69,27 @@ def _entries(q, c, ids, number: int, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["q", "c", "id", "list", "s"])
 
 
+def _named(cell: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """The pairs that a list names in a cell, by their places in the two packs."""
+    data = np.stack([i, j], axis=1).astype("<i4").tobytes()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([cell["qp"]], pa.int32()), pa.array([cell["cp"]], pa.int32()), pa.array([data], pa.binary())],
+        names=["qp", "cp", "named"],
+    )
+
+
+def _places(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    order = np.argsort(rows)
+    return order[np.searchsorted(rows[order], wanted)]
+
+
+def _by_row(rows: np.ndarray, cuts: list[dict], name: str) -> np.ndarray:
+    """A value per query of the pack; queries without candidates have none and get infinity."""
+    out = np.full(len(rows), np.inf)
+    out[_places(rows, np.array([x["q"] for x in cuts], np.int64))] = [x[name] for x in cuts]
+    return out
+
+
 def _cells(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for i in range(batch.num_rows):
@@ -130,70 +152,91 @@ def top_k(
                 s = np.take_along_axis(s, best, axis=1).ravel()[other]
                 yield _entries(who[other], c_row[j[other]], ids[j[other]], cell["list"], s)
 
-    def look_up(batches):
-        for cell in _cells(batches):
-            (_, q_row, q), (ids, c_row, c) = _unpack(cell["q_data"]), _unpack(cell["c_data"])
-            pairs = np.array([(p["q"], p["c"]) for p in cell["pairs"]], np.int64).reshape(-1, 2)
-            q_order, c_order = np.argsort(q_row), np.argsort(c_row)
-            for part in np.array_split(pairs, len(pairs) // 65_536 + 1):
-                i = q_order[np.searchsorted(q_row[q_order], part[:, 0])]
-                j = c_order[np.searchsorted(c_row[c_order], part[:, 1])]
-                yield _entries(part[:, 0], part[:, 1], ids[j], cell["list"], (q[i] * c[j]).sum(axis=1))
-
-    def resolved(entries: DataFrame) -> DataFrame:
-        """Whole scores of all candidates that some list named."""
-        pairs = entries.groupBy("q", "c", "id").agg(F.sum("s").alias("s"), F.collect_set("list").alias("have"))
-        gaps = pairs.select("q", "c", F.explode(F.array_except(F.lit(list(range(lists))), "have")).alias("list"))
-        # At most as many pairs as a cell has.
-        asked_of = gaps.groupBy(_pack_of("q", n_q).alias("qp"), _pack_of("c", n_c).alias("cp"), "list").agg(
-            F.collect_list(F.struct("q", "c")).alias("pairs")
-        )
-        found = asked_of.join(q_side, ["qp", "list"]).join(c_side, ["cp", "list"]).mapInArrow(look_up, ENTRY)
-        all_of = pairs.select("q", "c", "id", "s").unionByName(found.select("q", "c", "id", "s"))
-        return all_of.groupBy("q", "c", "id").agg(F.sum("s").alias("score"))
+    def named(cell, pairs_of: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x["named"], "<i4").reshape(-1, 2) for x in cell[pairs_of]]).astype(np.int64)
 
+    def resolve(batches, exact: bool):
+        """Whole scores of all pairs that some list named, list by list; from ``exact`` on only what reaches the cutoff."""
+        for cell in _cells(batches):
+            q_parts = [_unpack(x["data"]) for x in sorted(cell["q_lists"], key=lambda x: x["list"])]
+            c_parts = [_unpack(x["data"]) for x in sorted(cell["c_lists"], key=lambda x: x["list"])]
+            (_, q_row, _), (ids, c_row, _) = q_parts[0], c_parts[0]
+            code = np.unique(named(cell, "named_by") @ np.array([len(c_row), 1]))
+            floor = _by_row(q_row, cell["cuts"], "cutoff") if exact else None
+            for part in np.array_split(code, len(code) // 65_536 + 1):
+                i, j = part // max(1, len(c_row)), part % max(1, len(c_row))
+                s = sum((q[i] * c[j]).sum(axis=1) for (_, _, q), (_, _, c) in zip(q_parts, c_parts))
+                ok = s >= floor[i] if exact else np.ones(len(s), bool)
+                yield _entries(q_row[i[ok]], c_row[j[ok]], ids[j[ok]], 0, s[ok])
+
+    def with_packs(found: DataFrame) -> DataFrame:
+        """A row per pair of packs: what all lists named there, and the vectors."""
+        by_cell = found.groupBy("qp", "cp").agg(F.collect_list(F.struct("named")).alias("named_by"))
+        whole = F.collect_list(F.struct("list", "data"))
+        q_all = q_packs.groupBy(F.col("pack").alias("qp")).agg(whole.alias("q_lists"))
+        c_all = c_packs.groupBy(F.col("pack").alias("cp")).agg(whole.alias("c_lists"))
+        return by_cell.join(q_all, "qp").join(c_all, "cp")
+
+    # 1. Local lists: the places in the packs of each list's best.
     in_list = W.partitionBy("q", "list").orderBy(F.desc("s"), "id", "c")
-    first = cells.mapInArrow(best_of_list, ENTRY).withColumn("n", F.row_number().over(in_list)).filter(F.col("n") <= k).drop("n")
-    first = stored(first, "local_lists")
-    by_score = W.partitionBy("q").orderBy(F.desc("score"), "id", "c")
+    first = (
+        cells.mapInArrow(best_of_list, ENTRY).withColumn("n", F.row_number().over(in_list))
+        .filter(F.col("n") <= k).select("q", "c").distinct()
+        .groupBy(_pack_of("q", n_q).alias("qp"), _pack_of("c", n_c).alias("cp"))
+        .agg(F.collect_list(F.struct("q", "c")).alias("pairs"))
+    )
+
+    def place(batches):
+        for cell in _cells(batches):
+            _, q_row, _ = _unpack(cell["q_data"])
+            _, c_row, _ = _unpack(cell["c_data"])
+            pairs = np.array([(x["q"], x["c"]) for x in cell["pairs"]], np.int64)
+            yield _named(cell, _places(q_row, pairs[:, 0]), _places(c_row, pairs[:, 1]))
+
+    placed = first.join(q_side.filter("list = 0").drop("list"), "qp").join(c_side.filter("list = 0").drop("list"), "cp")
+    placed = placed.mapInArrow(place, NAMED)
+    by_score = W.partitionBy("q").orderBy(F.desc("s"), "id", "c")
+    known = with_packs(placed).mapInArrow(lambda b: resolve(b, False), ENTRY)
     cutoff = (
-        resolved(first).withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k)
-        .groupBy("q").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).filter(F.col("n") == k)
+        known.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k)
+        .groupBy("q").agg(F.min("s").alias("cutoff"), F.count("*").alias("n"))
     )
     mean = np.zeros(width)
     sums = c_packs.select("list", F.posexplode("sums")).groupBy("list", "pos").agg(F.sum("col").alias("x"))
     for r in sums.collect():  # one number per dimension
         mean[width * r["list"] // lists + r["pos"]] = r["x"] / max(1, count)
-
-    def reaching(batches):
-        for cell in _cells(batches):
-            (_, q_row, q), (ids, c_row, c) = _unpack(cell["q_data"]), _unpack(cell["c_data"])
-            order = np.argsort(q_row)
-            at = order[np.searchsorted(q_row[order], [x["q"] for x in cell["cuts"]])]
-            first_dim = width * cell["list"] // lists
-            own = q[at] @ mean[first_dim : first_dim + q.shape[1]]
-            floor = own + np.array([x["above"] for x in cell["cuts"]]) / lists
-            left, right = _factors(q[at], c)
-            for a in range(0, len(at), 128):
-                s = left[a : a + 128] @ right
-                i, j = np.nonzero(s >= floor[a : a + 128, None])
-                who = q_row[at[a + i]]
-                other = who != c_row[j]
-                yield _entries(who[other], c_row[j[other]], ids[j[other]], cell["list"], s[i, j][other])
-
     whole_mean = F.aggregate(
         F.zip_with("v", F.lit(mean.tolist()).cast("array<double>"), lambda x, m: F.coalesce(x * m, F.lit(0.0))),
         F.lit(0.0), lambda a, x: a + x,
     )
     means = asked.select(F.col("row").alias("q"), whole_mean.alias("mean"))
-    # Half a point below the exact value, for rounding; scores are integers.
+    # Half a point below the exact value, for rounding; a query with fewer than k candidates has no cutoff.
+    above = F.when(F.col("n") == k, F.col("cutoff") - F.col("mean") - 0.5).otherwise(float("-inf"))
+    least = F.when(F.col("n") == k, F.col("cutoff").cast("double")).otherwise(float("-inf"))
     cuts = (
-        cutoff.join(means, "q").select("q", (F.col("cutoff") - F.col("mean") - 0.5).alias("above"))
-        .groupBy(_pack_of("q", n_q).alias("qp")).agg(F.collect_list(F.struct("q", "above")).alias("cuts"))
+        cutoff.join(means, "q").select("q", above.alias("above"), least.alias("cutoff"))
+        .groupBy(_pack_of("q", n_q).alias("qp")).agg(F.collect_list(F.struct("q", "above", "cutoff")).alias("cuts"))
     )
-    sent = cells.join(stored(cuts, "cutoffs"), "qp").mapInArrow(reaching, ENTRY)
-    best = resolved(sent.unionByName(first).dropDuplicates(["q", "c", "list"]))
-    ranked = best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    cuts = stored(cuts, "cutoffs")
+
+    # 2. Each list sends what reaches its share of the cutoff.
+    def reaching(batches):
+        for cell in _cells(batches):
+            (_, q_row, q), (ids, c_row, c) = _unpack(cell["q_data"]), _unpack(cell["c_data"])
+            first_dim = width * cell["list"] // lists
+            floor = q @ mean[first_dim : first_dim + q.shape[1]] + _by_row(q_row, cell["cuts"], "above") / lists
+            left, right = _factors(q, c)
+            found = []
+            for a in range(0, len(q_row), 128):
+                i, j = np.nonzero(left[a : a + 128] @ right >= floor[a : a + 128, None])
+                other = q_row[a + i] != c_row[j]
+                found.append((a + i[other], j[other]))
+            yield _named(cell, *(np.concatenate(x) for x in zip(*found)))
+
+    sent = cells.join(cuts, "qp").mapInArrow(reaching, NAMED)
+    # 3. What was sent is resolved.
+    final = with_packs(sent).join(cuts, "qp").mapInArrow(lambda b: resolve(b, True), ENTRY)
+    ranked = final.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id")), "q").select(
-        "query_id", "rank", "id", "score"
+        "query_id", "rank", "id", F.col("s").alias("score")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from vulnspark.session import scratch_path
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 # Constants of the hashes; any odd multipliers would do.
 _ODD = 0x9E3779B97F4A7C15

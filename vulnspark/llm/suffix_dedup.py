@@ -15,6 +15,7 @@ from vulnspark.llm.common import (
 
 GRAM = 64
 GROUP_LIMIT = 60_000
+SAMPLE_BYTES = 1 << 20  # hashing takes a hundred times as much for a moment
 
 MARKS = "n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept binary"
 
@@ -72,7 +73,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _sampled(rows: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SAMPLE_BYTES):
                 owner, at, key, context = anchors(*_joined(as_bytes(part.column("text"))), width, gram)
                 ids = [part.column(c).to_numpy()[owner] for c in ("d", "t")]
                 yield pa.RecordBatch.from_arrays(

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import as_bytes, col, map_rows, stored
+from vulnspark.llm.common import as_bytes, col, map_rows, partitions, stored
 from vulnspark.llm.components import components
 
 SEED = 42
 FANOUT = 8
-ALL_BITS = (1 << 64) - 1
 
 
 # -- fingerprints -----------------------------------------------------------------
@@ -176,31 +176,41 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, within: int = 2, group_limit: int = 50_000, depth: int = 3) -> DataFrame:
+def links(distinct: DataFrame, within: int = 2, agree: int = 1, group_limit: int = 50_000, free_bits: int = 20) -> DataFrame:
     """Links (a, b) that join distinct fingerprints ``fp`` as all pairs within ``within`` bits would.
 
-    Two such fingerprints agree on one of ``within + 1`` parts of the bits, so each is
-    dealt to a group per part. A group of more than ``group_limit`` is dealt again by a
-    part of its other bits; after three rounds 19 free bits are left, so that no
-    group can hold more than 2^19 fingerprints.
+    Of ``within + agree`` parts of the bits, two such fingerprints have ``agree`` in common, so
+    each is dealt to a group per choice of parts. A group of more than ``group_limit`` is
+    dealt again, by parts of its other bits, until no more than ``free_bits`` are left:
+    no group can hold more than 2^20 fingerprints.
     """
-    parts = within + 1
-    masks = _split(0, parts)
+    parts = _split(0, within + agree)
+    masks = [sum(some) for some in combinations(parts, agree)]
     rows = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+    free = 64 - min(m.bit_count() for m in masks)
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[int]] = {}
+        for b in batches:
+            out = []
+            for m in b.column(1).to_pylist():
+                if m not in known:
+                    known[m] = [_signed(x) for x in _split(m % (1 << 64), within + 1)]
+                out.append(known[m])
+            fps = np.repeat(b.column(0).to_numpy(), within + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(np.array(out, np.int64).ravel())], names=["fp", "mask"])
+
     ready = None
-    for level in range(depth):
+    while True:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = rows.groupBy("mask", "key").count().filter(f"count > {group_limit}").drop("count")
-        if level == depth - 1 or sizes.isEmpty():
+        hot = stored(rows.groupBy("mask", "key").count().filter(F.col("count") > group_limit).select("mask", "key"), "hot_groups")
+        if free <= free_bits or hot.isEmpty():
             ready = rows if ready is None else ready.unionByName(rows)
             break
-        hot = stored(sizes, "hot_groups")
         small = rows.join(hot, ["mask", "key"], "left_anti")
         ready = small if ready is None else ready.unionByName(small)
-        finer = {m: _split(m, parts) for m in masks}
-        options = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(f)) for f in finer[m])))))
-        rows = rows.join(hot, ["mask", "key"]).select("fp", F.explode(options[F.col("mask")]).alias("mask"))
-        masks = [f for m in masks for f in finer[m]]
+        rows = stored(rows.join(hot, ["mask", "key"]).select("fp", "mask").mapInArrow(finer, "fp bigint, mask bigint"), "finer")
+        free -= free // (within + 1)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -212,11 +222,12 @@ def links(distinct: DataFrame, within: int = 2, group_limit: int = 50_000, depth
                     [pa.array(x[i : i + 100_000].view(np.int64)) for x in (a, b)], names=["a", "b"]
                 )
 
-    return ready.repartition("mask", "key").select("mask", "fp").mapInArrow(link, "a bigint, b bigint")
+    dealt = ready.repartition(partitions(distinct.sparkSession), "mask", "key")
+    return dealt.select("mask", "fp").mapInArrow(link, "a bigint, b bigint")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, within: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, within: int = 2, agree: int = 1
 ) -> DataFrame:
     """Per document ``id_col, fp, component``: the smallest id among all documents that links can reach.
 
@@ -227,7 +238,7 @@ def near_duplicates(
     """
     docs = stored(fingerprints(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), ["id"], "text", width), "fingerprints")
     nodes = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(nodes.select("fp"), within))
+    roots = components(links(nodes.select("fp"), within, agree))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = placed.join(least, "root").select("fp", "component")

@@ -22,7 +22,9 @@ class Settings:
     """Sizes and the training schedule.
 
     ``sample`` bounds the labelled rows that are collected for training: of more, those
-    with the smallest hash of their id are taken, the same at every run.
+    with the smallest hash of their id are taken, the same at every run. Training makes
+    ``epochs`` rounds, or as many more as ``steps`` steps take; a small sample is cut into
+    small batches.
     """
 
     sample: int = 12_000
@@ -30,6 +32,7 @@ class Settings:
     dims: int = 4
     grams: tuple[int, ...] = (3, 4, 5)
     epochs: int = 12
+    steps: int = 500
     batch: int = 256
     rate: float = 0.05
     decay: float = 1e-6
@@ -138,7 +141,9 @@ def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
     buckets, counts = _all_subwords(list(vocabulary), settings)
     first = np.cumsum(counts) - counts
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, weights, bias)]
-    step, total = 0, settings.epochs * -(-len(y) // settings.batch)
+    size = min(settings.batch, max(32, len(y) // 40))
+    epochs = max(settings.epochs, settings.steps // -(-len(y) // size))
+    step, total = 0, epochs * -(-len(y) // size)
 
     def adam(i, p, g, rows=slice(None)):
         m, v = moments[i]
@@ -147,11 +152,11 @@ def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
         rate = settings.rate * (1 - (step - 1) / total)
         p[rows] -= rate * (m[rows] / (1 - 0.9**step) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-8) + settings.decay * p[rows])
 
-    for _ in range(settings.epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(y))
-        for a in range(0, len(y), settings.batch):
+        for a in range(0, len(y), size):
             step += 1
-            batch = order[a : a + settings.batch]
+            batch = order[a : a + size]
             sizes = np.array([len(docs[i][0]) for i in batch])
             ids = np.concatenate([docs[i][0] for i in batch])
             n = np.concatenate([docs[i][1] for i in batch]).astype(np.float64)

@@ -143,7 +143,8 @@ def best_fit(histogram: list[tuple[int, int]], capacity: Capacity) -> list[tuple
     remainder has the least weighted norm (or, by the other rule, whose remainder has
     the greatest weighted dot product with the piece), and its bins are filled in
     turn, as best-fit would one by one. The work depends on the number of different
-    lengths, at most the capacity, not on the number of pieces.
+    lengths, at most the capacity, not on the number of pieces: some 10,000 entries for
+    4096 lengths, be there 10^5 pieces or 10^8.
     """
     full = np.array([capacity.tokens, capacity.documents, capacity.attention], np.float64)
     weights = np.array(capacity.weights)
@@ -198,14 +199,14 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity.tokens``.
 
     Only the number of pieces of each length goes to the driver; the plan that comes
-    back has some entries per length. Pieces are numbered within their length and a
+    back has some entries per length; both are bounded by the capacity. Pieces are numbered within their length and a
     salt, so that a length which a third of all pieces have is spread over tasks. The
     salt is stored with the pieces, because they are read more than once.
     """
     spark = pieces.sparkSession
-    salted = stored(
-        pieces.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), "pieces"
-    )
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    whole = F.struct(*(col(c) for c in pieces.columns))
+    salted = stored(pieces.select(whole.alias("row"), col("length").alias("length"), salt.alias("salt")), "pieces")
     counts = salted.groupBy("length", "salt").count()
     in_length = W.partitionBy("length").orderBy("salt")
     counts = stored(counts.withColumn("before", F.sum("count").over(in_length) - F.col("count")), "length_counts")
@@ -216,16 +217,16 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     planned = spark.createDataFrame(
         plan, "length bigint, lo bigint, hi bigint, per_bin bigint, first_bin bigint, begin bigint"
     )
-    rank = F.row_number().over(W.partitionBy("length", "salt").orderBy(*pieces.columns)) - 1
+    rank = F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1
     numbered = (
         salted.withColumn("r", rank)
         .join(F.broadcast(counts.select("length", "salt", "before")), ["length", "salt"])
         .withColumn("r", F.col("r") + F.col("before"))
     )
     at = F.col("r") - F.col("lo")
-    return (
-        numbered.join(F.broadcast(planned), "length").filter("r >= lo AND r < hi")
-        .withColumn("sequence_id", F.col("first_bin") + F.floor(at / F.col("per_bin")))
-        .withColumn("offset", F.col("begin") + at % F.col("per_bin") * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
+    placed = numbered.join(F.broadcast(planned), "length").filter("r >= lo AND r < hi")
+    return placed.select(
+        *(F.col("row").getField(c).alias(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")),
+        (F.col("first_bin") + F.floor(at / F.col("per_bin"))).alias("sequence_id"),
+        (F.col("begin") + at % F.col("per_bin") * F.col("length")).alias("offset"),
     )

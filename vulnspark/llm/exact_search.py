@@ -84,8 +84,8 @@ def _places(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _by_row(rows: np.ndarray, cuts: list[dict], name: str) -> np.ndarray:
-    """A value per query of the pack; queries without candidates have none and get infinity."""
-    out = np.full(len(rows), np.inf)
+    """A value per query of the pack; queries without candidates have none and get the largest."""
+    out = np.full(len(rows), np.inf) if name == "above" else np.full(len(rows), np.iinfo(np.int64).max)
     out[_places(rows, np.array([x["q"] for x in cuts], np.int64))] = [x[name] for x in cuts]
     return out
 
@@ -210,9 +210,10 @@ def top_k(
         F.lit(0.0), lambda a, x: a + x,
     )
     means = asked.select(F.col("row").alias("q"), whole_mean.alias("mean"))
-    # Half a point below the exact value, for rounding; a query with fewer than k candidates has no cutoff.
-    above = F.when(F.col("n") == k, F.col("cutoff") - F.col("mean") - 0.5).otherwise(float("-inf"))
-    least = F.when(F.col("n") == k, F.col("cutoff").cast("double")).otherwise(float("-inf"))
+    # A little below the exact value, for rounding; a query with fewer than k candidates has no cutoff.
+    slack = 0.5 + 1e-9 * (F.abs("cutoff") + F.abs("mean"))
+    above = F.when(F.col("n") == k, F.col("cutoff") - F.col("mean") - slack).otherwise(float("-inf"))
+    least = F.when(F.col("n") == k, F.col("cutoff")).otherwise(F.lit(-(1 << 63)))
     cuts = (
         cutoff.join(means, "q").select("q", above.alias("above"), least.alias("cutoff"))
         .groupBy(_pack_of("q", n_q).alias("qp")).agg(F.collect_list(F.struct("q", "above", "cutoff")).alias("cuts"))

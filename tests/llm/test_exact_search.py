@@ -28,7 +28,7 @@ def found(spark, rows, k):
     return sorted(tuple(r) for r in top_k(frame, F.col("id") % 20 == 0, k).collect())
 
 
-@pytest.mark.parametrize("width, top", [(7, 3), (16, 40), (6, 2_000_000_000)])
+@pytest.mark.parametrize("width, top", [(7, 3), (16, 40), (6, 900_000_000)])
 def test_against_brute_force(spark, monkeypatch, width, top):
     monkeypatch.setattr(exact_search, "PACK_ROWS", 64)
     monkeypatch.setattr(exact_search, "QUERY_ROWS", 4)

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.llm.common import (
-    _ODD, INVERSE, as_bytes, col, mixed, partitions, powers, prefix_sums, word_bounds, word_hashes,
+    _ODD, INVERSE, as_bytes, col, mixed, partitions, powers, prefix_sums, slices, word_bounds,
+    word_hashes,
 )
 
-BLOCK_BYTES = 6 << 20
-GROUP_SUFFIXES = 1_500_000
+BLOCK_BYTES = 3 << 20
+GROUP_SUFFIXES = 1_000_000
 PREFIXES = (1, 2, 4, 8)
 NO_ID = np.iinfo(np.int64).max
 
@@ -70,9 +71,9 @@ class _Prefixes:
         return mixed(h + np.uint64(depth * _ODD % (1 << 64)))
 
 
-def _frequent_here(table: pa.Table, width: int, least: int) -> pa.Table:
-    """Prefixes that very many suffixes of a block share, and their numbers."""
-    block = Block.of(table, width)
+def _frequent_here(part: pa.RecordBatch, width: int, least: int) -> pa.RecordBatch:
+    """Prefixes that very many suffixes of some documents share, and their numbers."""
+    block = Block.of(pa.Table.from_batches([part]), width)
     prefixes = block.prefixes()
     found = []
     for depth in (p for p in PREFIXES if p < width):
@@ -80,9 +81,8 @@ def _frequent_here(table: pa.Table, width: int, least: int) -> pa.Table:
         found.append((values[counts >= least], counts[counts >= least]))
     if not found:
         found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    return pa.table(
-        {"prefix": np.concatenate([v for v, _ in found]).view(np.int64), "n": np.concatenate([c for _, c in found])}
-    )
+    columns = [np.concatenate([v for v, _ in found]).view(np.int64), np.concatenate([c for _, c in found])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["prefix", "n"])
 
 
 def _groups(prefixes: _Prefixes, whole: np.ndarray, frequent: np.ndarray, width: int, groups: int) -> np.ndarray:
@@ -220,7 +220,14 @@ def remove_repeated_words(
     by_block = rows.groupBy("bucket")
     # A prefix is too frequent for one group from an average group's share on.
     limit = max(1000, size // 6 // groups)
-    counted = by_block.applyInArrow(lambda t: _frequent_here(t, width, max(2, limit // buckets)), "prefix bigint, n bigint")
+    least = max(2, limit // buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield _frequent_here(part, width, least)
+
+    counted = rows.select("id", "text", "d", "t").mapInArrow(count, "prefix bigint, n bigint")
     frequent = counted.groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).select("prefix")
     # A few times the number of groups at most, because the counts of each length add up to all suffixes.
     frequent = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64))

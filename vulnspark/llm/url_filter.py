@@ -51,10 +51,10 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def _shape(segment: Column) -> Column:
-    """What a following segment looks like, however many different ones there are."""
-    digits = F.regexp_replace(segment, "[0-9]+", "0")
-    return F.when(segment.isNull(), "end").otherwise(F.regexp_replace(digits, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F0]+", "a"))
+def _shape(segments: Column) -> Column:
+    """What the following segments look like, however many different ones there are: digits and letters are all one."""
+    digits = F.regexp_replace(F.array_join(segments, "/"), "[0-9]+", "0")
+    return F.xxhash64(F.size(segments), F.regexp_replace(digits, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F0]+", "a"))
 
 
 def _grown(rows: DataFrame, level: int, s: Settings) -> DataFrame:
@@ -67,10 +67,10 @@ def _grown(rows: DataFrame, level: int, s: Settings) -> DataFrame:
         here.groupBy(*at, "seg").agg(F.sum("n").alias("own")).filter(F.col("own") >= s.support)
         .join(parents, at).filter(F.col("own") >= s.share * F.col("all")).select(*at, "seg", "own")
     )
-    # How the kept branches go on: shape of the next segment, and the labels below it.
+    # How the kept branches go on: shape of the next segments, and the labels below.
     label = F.expr("stack(3, 'block', block, 'allow', allow, 'none', n - block - allow) AS (label, x)")
     onward = (
-        here.withColumn("next", _shape(F.get("segs", F.lit(level + 1)))).groupBy(*at, "seg", "next")
+        here.withColumn("next", _shape(F.slice("segs", level + 2, s.depth + 1))).groupBy(*at, "seg", "next")
         .agg(*(F.sum(c).alias(c) for c in ("n", "block", "allow")))
         .select(*at, "seg", "next", label).filter("x > 0").join(kept, [*at, "seg"])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.llm.common import (
-    as_bytes, byte_sums, col, map_rows, mixed, partitions, slices, stored, stretch_hash,
+    as_bytes, bound_batches, byte_sums, col, map_rows, mixed, partitions, slices, stored, stretch_hash,
 )
 
 GRAM = 64
@@ -71,6 +71,8 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sampled(rows: DataFrame, width: int, gram: int) -> DataFrame:
+    bound_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, SAMPLE_BYTES):

@@ -40,7 +40,7 @@ def partitions(spark: SparkSession) -> int:
 def bound_batches(spark: SparkSession) -> None:
     """Let batches between Spark and Python hold a few MB: each task has several in memory on both sides."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    have = spark.conf.get(name, "0").rstrip("b")
+    have = spark.conf.get(name).rstrip("b")
     if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 

@@ -83,3 +83,14 @@ def test_links_and_text_block(spark):
     assert df.select(p.links(F.col("html")).alias("v")).first().v == ["/CVERecord?id=1", "/CVERecord?id=2"]
     shown = df.select(p.record_text({"CVE ID": "cve_id", "Title": "title"}).alias("v")).first().v
     assert shown == "CVE ID       : A\nTitle        : None\n"
+
+
+def test_a_page_the_parser_refuses_is_marked(spark):
+    pages = spark.createDataFrame([(1, "<![foo[ x ]]><p>a</p>"), (2, "<p>a</p>")], "id long, html string")
+    found = {r["id"]: [e["tag"] for e in r["elements"]] for r in p.list_elements(pages).collect()}
+    assert p.REFUSED in found[1] and found[2] == ["p"]
+
+
+def test_pages_are_capped_only_on_request(spark):
+    pages = spark.createDataFrame([(i, "x") for i in range(700)], "seq long, attack string")
+    assert p.collect_per_term(pages).count() == 700

@@ -109,3 +109,53 @@ def test_robots(spark):
     lines = ["User-agent: *", "Disallow: /a ", "Disallow:", " Disallow: /no", "Allow: /", "Disallow: /x:y"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     assert rows(disallowed_paths(df)) == [("",), ("/a",), ("/x:y",)]
+
+
+def nested(spark, tmp_path, body, **options):
+    """The records as read in one split and in many."""
+    path = write(tmp_path / f"x{len(list(tmp_path.iterdir()))}.xml", body)
+    out = []
+    for size in ("128m", "64b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            out.append([tuple(r) for r in read_xml(spark, path, SMALL, order=True, **options).orderBy(*DOC_ORDER).drop(*DOC_ORDER).collect()])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert out[0] == out[1]
+    return out[0]
+
+
+def test_no_record_is_lost(spark, tmp_path):
+    r1, r2, r3 = (record(c, "t") for c in ("C1", "C2", "C3"))
+    three = [("C1", "t"), ("C2", "t"), ("C3", "t")]
+    assert nested(spark, tmp_path, r1 + "<vulnerability/>" + r2 + "<vulnerability a='1' />" + r3) == [
+        ("C1", "t"), (None, None), ("C2", "t"), (None, None), ("C3", "t")
+    ]
+    assert nested(spark, tmp_path, r1.replace("</vulnerability>", "</vulnerability  >") + r2 + r3) == three
+    assert nested(spark, tmp_path, r1 + "<!--" + r2 + "-->" + r3) == [three[0], three[2]]
+    assert nested(spark, tmp_path, r1 + "<!-- " + r2 + r2 + r2 + " -->" + r3) == [three[0], three[2]]
+    assert nested(spark, tmp_path, r1 + "<!-- a note -->" + r2 + r3) == three
+    odd = record("C2", "<![CDATA[a </vulnerability> b]]>")
+    assert nested(spark, tmp_path, r1 + odd + r3) == [three[0], ("C2", "a </vulnerability> b"), three[2]]
+
+
+def test_a_cut_file_is_malformed(spark, tmp_path):
+    path = tmp_path / "cut.xml"
+    path.write_text("<vulnerabilities>" + record("A", "x") + "<vulnerability><cve_id>B</cve_id><title>y</title>")
+    assert rows(read_xml(spark, str(path), SMALL, on_error="drop")) == [("A", "x")]
+    assert rows(read_xml(spark, str(path), SMALL, on_error="empty")) == []
+    with pytest.raises(Exception):
+        read_xml(spark, str(path), SMALL).collect()
+
+
+def test_a_bad_file_empties_only_itself(spark, tmp_path):
+    write(tmp_path / "good.xml", record("A", "x"))
+    write(tmp_path / "bad.xml", record("B", "x") + record("C", "x & y"))
+    assert rows(read_xml(spark, str(tmp_path), SMALL, on_error="empty")) == [("A", "x")]
+
+
+def test_part_files_sort_by_number(spark, tmp_path):
+    for n in (99999, 100000):
+        write(tmp_path / f"part-{n}.xml", record(str(n), "x"))
+    found = read_xml(spark, str(tmp_path), SMALL, order=True).orderBy(*DOC_ORDER).collect()
+    assert [r["cve_id"] for r in found] == ["99999", "100000"]

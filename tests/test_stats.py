@@ -56,7 +56,7 @@ def test_describe_property(spark, values):
 
 def test_histogram_ends(spark):
     found = stats.histogram(column(spark, [0.0, 9.9, 10.0, 9.0, None, 11.0, -1.0]), "x").collect()
-    assert [tuple(r) for r in found] == [(0.0, 1), (9.0, 1), (9.5, 2)]
+    assert [tuple(r) for r in found] == [(-1.0, 1), (0.0, 1), (9.0, 1), (9.5, 2), (11.0, 1)]
 
 
 def test_dense_counts_is_case_sensitive(spark):
@@ -102,3 +102,15 @@ def test_filters_commute(spark):
     assert filters.dashboard_filter(df).count() == 12
     assert filters.dashboard_filter(df, [], ["SQL injection"]).count() == 0
     assert filters.dashboard_filter(df, [], ["SQL injection"], case_insensitive=True).count() == 9
+
+
+def test_describe_with_a_heavy_tail(spark):
+    import random
+
+    rng = random.Random(1)
+    check_describe(spark, [rng.random() for _ in range(3000)] + [1e300, 1e150, 1e60])
+
+
+def test_separator_is_plain_text(spark):
+    df = spark.createDataFrame([("ab|cd|ab",)], "x string")
+    assert {tuple(r) for r in stats.exploded_counts(df, "x", "|").collect()} == {("ab", 2), ("cd", 1)}

@@ -29,7 +29,7 @@ from vulnspark.sources import DOC_ORDER, read_records, read_xml, write_records,
 
 def collect(spark: SparkSession, a: argparse.Namespace) -> None:
     pages = spark.read.parquet(a.input)
-    write_records(to_raw_columns(collect_records(pages, order=[a.order])), a.output)
+    write_records(to_raw_columns(collect_records(pages, order=[a.order], limit=a.limit)), a.output)
 
 
 def clean(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -52,23 +52,27 @@ def features(spark: SparkSession, a: argparse.Namespace) -> None:
         quality_report(nested, DOC_ORDER).write.json(a.report)
 
 
+def _kept(view: DataFrame, path: str) -> DataFrame:
+    """The view as a table beside the results, which all of them read."""
+    view.write.parquet(path)
+    return view.sparkSession.read.parquet(path)
+
+
 def _write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
 
 
 def eda(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = eda_view(read_xml(spark, a.input, schemas.RAW_XML, encoding=a.encoding)).persist()
+    rows = _kept(eda_view(read_xml(spark, a.input, schemas.RAW_XML, encoding=a.encoding)), f"{a.output}/view")
     _write_tables(consumers.eda_report(rows), a.output)
-    rows.unpersist()
 
 
 def dashboard(spark: SparkSession, a: argparse.Namespace) -> None:
     source = read_xml(spark, a.input, schemas.FEATURE_XML, encoding="auto", on_error="empty")
-    rows = dashboard_view(source).persist()
+    rows = _kept(dashboard_view(source), f"{a.output}/view")
     panels = consumers.panels(rows, a.severity, a.attack, a.minimum, a.query, a.top)
     _write_tables(panels, a.output)
-    rows.unpersist()
 
 
 def explain(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -92,7 +96,9 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("output")
         return sub
 
-    job(collect).add_argument("--order", default="url")
+    one = job(collect)
+    one.add_argument("--order", default="url")
+    one.add_argument("--limit", type=int, help="at most so many pages per search term")
     one = job(clean)
     one.add_argument("--array", action="store_true", help="the files hold JSON arrays")
     one.add_argument("--legacy", action="store_true")
@@ -104,7 +110,7 @@ def parser() -> argparse.ArgumentParser:
     for sub in (one, two, three):
         sub.add_argument("--encoding", default="utf-8", choices=["utf-8", "latin-1", "auto"])
     three.add_argument("--model", required=True, help="module:function, list of prompts to list of answers; its code travels along")
-    three.add_argument("--limit", type=int, default=consumers.EXPLAIN_LIMIT)
+    three.add_argument("--limit", type=int, help="only the first so many rows")
     four = job(dashboard)
     four.add_argument("--severity", nargs="*", default=list(consumers.filters.DEFAULT_SEVERITIES))
     four.add_argument("--attack", nargs="*", default=[])

@@ -47,6 +47,9 @@ ELEMENTS = T.ArrayType(
     )
 )
 
+# Tag of the element that marks a page the parser could not read to its end.
+REFUSED = "#refused"
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NO_TEXT = frozenset(("script", "style", "template"))
 
@@ -61,8 +64,15 @@ class _ElementLister(HTMLParser):
     def list_elements(self, html: str) -> list[dict]:
         self.reset()
         self.count, self.open, self.found = 0, [], []
-        self.feed(html)
-        self.close()
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError):
+            # Markup the parser refuses: the page is listed as far as it came, marked by an element of its own.
+            self.found.append(
+                {"at": self.count, "last": self.count, "parent": -1, "tag": REFUSED, "id": None, "classes": [], "label": None, "text": None}
+            )
+            self.count += 1
         while self.open:
             self._close_one()
         return sorted(self.found, key=lambda e: e["at"])
@@ -289,9 +299,14 @@ def extract_records(
 
 def collect_per_term(
     pages: DataFrame, attack: str = "attack", order: Sequence[str] = ("seq",),
-    limit: int = ROWS_PER_RESULT_PAGE * RESULT_PAGES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """At most ``limit`` pages per search term, in order."""
+    """All pages, or at most ``limit`` per search term, in order.
+
+    ``ROWS_PER_RESULT_PAGE * RESULT_PAGES`` is what a search of the site shows.
+    """
+    if limit is None:
+        return pages
     return cap_per_group(pages, [attack], order, limit)
 
 

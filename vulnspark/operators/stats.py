@@ -37,7 +37,7 @@ def exploded_counts(
     df: DataFrame, key: str, separator: str = ", ", missing: str | None = "N/A", count: str = "n"
 ) -> DataFrame:
     """Split a list text, trim the parts and count them."""
-    parts = df.select(F.explode(F.split(key, separator)).alias(key)).select(
+    parts = df.select(F.explode(F.split(key, rf"\Q{separator}\E")).alias(key)).select(
         strip(F.col(key)).alias(key)
     )
     if missing is not None:
@@ -163,16 +163,18 @@ def any_null(df: DataFrame, value: Column, name: str = "any_null") -> DataFrame:
 def histogram(
     df: DataFrame, value: str, width: float = 0.5, low: float = 0.0, high: float = 10.0
 ) -> DataFrame:
-    """Rows per equal bin of [low, high]; the upper end belongs to the last bin.
+    """Rows per equal bin; every value that is a number is counted.
 
-    Bins without rows are left out, as are nulls and values outside the range.
+    The bins start at ``low`` and go on at both ends as far as there are values; the
+    value ``high`` itself belongs to the last bin below it. Bins without rows are left out,
+    as are nulls and NaN; the infinities have bins of their own.
     """
-    bins = round((high - low) / width)
     x = F.col(value).cast("double")
-    index = F.least(F.floor((x - F.lit(float(low))) / F.lit(float(width))), F.lit(bins - 1))
+    cell = F.floor((x - F.lit(float(low))) / F.lit(float(width))).cast("double")
+    index = F.when(F.abs(x) == float("inf"), x).when(x == float(high), F.lit(round((high - low) / width) - 1.0)).otherwise(cell)
     counts = (
-        df.where(x.between(float(low), float(high)))
-        .groupBy(index.cast("int").alias("bin"))
+        df.where(x.isNotNull() & ~F.isnan(x))
+        .groupBy(index.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     start = F.lit(float(low)) + F.col("bin") * F.lit(float(width))
@@ -193,16 +195,16 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 def describe(
-    df: DataFrame, value: str, quantiles: Sequence[float] = QUARTILES, cells: int = 4096,
+    df: DataFrame, value: str, quantiles: Sequence[float] = QUARTILES, cells: int = 64,
     rounds: int = 2,
 ) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quantiles, maximum.
 
     Quantiles interpolate linearly between the two neighbours in rank. The rows
-    shrink to (value, count) pairs first. Then each round cuts the range that
-    holds the wanted ranks into ``cells`` equal cells and keeps the cells that
-    are hit, so the last step, which needs sorted values, sees few of them. No
-    task holds a whole column, unlike an exact percentile aggregate.
+    shrink to (value, count) pairs first. Then each round cuts the ranges that
+    hold the wanted ranks into ``cells`` cells of about as many different values,
+    however these are spread, and keeps the cells that are hit: after two rounds the
+    last step, which sorts, sees some thousandths of the different values.
     """
     x = F.col(value).cast("double")
     pairs = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("n"))
@@ -221,32 +223,26 @@ def describe(
     def holds_rank(first: Column, size: Column) -> Column:
         return F.exists(F.col("_ranks"), lambda r: (r >= first) & (r < first + size))
 
-    candidates = pairs.select(
-        "v", "n", total["lo"].alias("_lo"), total["hi"].alias("_hi"), F.lit(0).cast("long").alias("_first"),
-    )
+    fractions = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    candidates = pairs.select("v", "n", F.lit(0).cast("long").alias("_first"))
     for _ in range(rounds):
-        spread = F.col("_hi") - F.col("_lo")
-        cell = F.when(spread > 0, F.least(
-            F.floor((F.col("v") - F.col("_lo")) / spread * F.lit(float(cells))), F.lit(cells - 1)
-        )).otherwise(0)
-        placed = candidates.withColumn("_cell", cell.cast("int"))
+        # One row per range, two ranges per quantile at most, whatever the size of the input.
+        cuts = candidates.groupBy("_first").agg(F.percentile_approx("v", fractions, 100 * cells).alias("_cuts"))
+        placed = candidates.join(F.broadcast(cuts), "_first").select(
+            "v", "n", F.col("_first").alias("_range"),
+            F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("_cell"),
+        )
         in_range = Window.partitionBy("_range").orderBy("_cell").rowsBetween(
             Window.unboundedPreceding, -1
         )
         hit = (
-            placed.groupBy(F.col("_first").alias("_range"), "_cell")
-            .agg(F.sum("n").alias("_size"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+            placed.groupBy("_range", "_cell").agg(F.sum("n").alias("_size"))
             .withColumn("_first", F.col("_range") + F.coalesce(F.sum("_size").over(in_range), F.lit(0)))
             .withColumn("_ranks", ranks)
             .where(holds_rank(F.col("_first"), F.col("_size")))
-            .select("_range", "_cell", "_first", "_lo", "_hi")
-        )
-        # At most two cells per quantile, whatever the size of the input.
-        candidates = (
-            placed.select("v", "n", F.col("_first").alias("_range"), "_cell")
-            .join(F.broadcast(hit), ["_range", "_cell"])
-            .select("v", "n", "_lo", "_hi", "_first")
+            .select("_range", "_cell", "_first")
         )
+        candidates = placed.join(F.broadcast(hit), ["_range", "_cell"]).select("v", "n", "_first")
 
     up_to_here = Window.partitionBy("_first").orderBy("v").rowsBetween(
         Window.unboundedPreceding, -1

@@ -2,7 +2,6 @@
 
 from vulnspark.plans.advisories import (
     collect_records,
-    features_from_nested,
     features_from_raw,
 )
 from vulnspark.plans.consumers import dashboard, eda_report, explanations
@@ -12,6 +11,5 @@ __all__ = [
     "dashboard",
     "eda_report",
     "explanations",
-    "features_from_nested",
     "features_from_raw",
 ]

@@ -13,14 +13,11 @@ from vulnspark.operators.reshape import nest_records
 
 
 def collect_records(
-    pages: DataFrame, html: str = "html", attack: str = "attack", order: Sequence[str] = ("seq",)
+    pages: DataFrame, html: str = "html", attack: str = "attack", order: Sequence[str] = ("seq",),
+    limit: int | None = None,
 ) -> DataFrame:
-    """Stored pages to raw records: the first pages per search term, parsed and tagged."""
-    return extract_records(collect_per_term(pages, attack, order), html, attack, order)
-
-
-def features_from_nested(nested_rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    return build_features(nested_rows, order)
+    """Stored pages to raw records: all pages, or the first ``limit`` per search term, parsed and tagged."""
+    return extract_records(collect_per_term(pages, attack, order, limit), html, attack, order)
 
 
 def features_from_raw(

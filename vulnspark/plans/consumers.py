@@ -16,7 +16,6 @@ from vulnspark.operators.views import dashboard_view, explanation_input
 # Display order of severities; attacks shown in the cross-tab.
 SEVERITY_DISPLAY = ("Critical", "High", "Medium", "Low", "Unknown")
 TARGET_ATTACKS = ("buffer overflow", "sql injection", "prompt injection", "cross-site scripting")
-EXPLAIN_LIMIT = 200
 
 
 def panels(
@@ -81,9 +80,9 @@ def explanations(
     feature_xml: DataFrame,
     predict: Callable[[list[str]], list[str]],
     order: Sequence[str],
-    limit: int | None = EXPLAIN_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The first rows with a description, each with the model's explanation."""
+    """All rows with a description, or the first ``limit``, each with the model's explanation."""
     chosen = first_n(explanation_input(feature_xml), order, limit)
     if limit:
         # A limit leaves one partition; the calls to the model should not queue up in it.

@@ -34,11 +34,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder the cluster names for checkpoints.
 
     Tables written there survive the loss of an executor; whoever writes one owns
-    it. Only where the session names no folder (a local run) does a temporary one
-    take its place.
+    it. A local run may do without and gets a temporary one; on a cluster that would
+    be a folder of one machine, so the setting is asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local_scratch:
             _local_scratch.append(tempfile.mkdtemp(prefix="vulnspark-"))
         base = _local_scratch[0]

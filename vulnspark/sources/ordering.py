@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 DOC_ORDER = ("_file", "_block", "_row")
 
 
+def _file_order() -> Column:
+    """The path, with the number of a part file wide enough to sort as text."""
+    path = F.col("_metadata.file_path")
+    number = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1)
+    wide = F.concat(
+        F.regexp_extract(path, r"^(.*/part-)\d+[^/]*$", 1), F.lpad(number, 12, "0"), F.regexp_extract(path, r"/part-\d+([^/]*)$", 1)
+    )
+    return F.when(number == "", path).otherwise(wide)
+
+
 def document_order_columns() -> list[Column]:
     return [
-        F.col("_metadata.file_path").alias("_file"),
+        _file_order().alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     ]

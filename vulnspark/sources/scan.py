@@ -3,14 +3,9 @@
 from pyspark.sql import DataFrame
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Redistribute the rows of a file scan that has fewer splits than there are task slots.
+def spread(scan: DataFrame, tasks: int | None) -> DataFrame:
+    """Deal the rows of a scan to as many tasks as the caller asks for; None leaves the plan as it is.
 
-    For scans and projections of scans only: asking a plan with a shuffle for its
-    number of partitions would run the shuffle.
-
-    A file with one row group is read by one task, whatever is done per row. An
-    input of a size that matters has more splits than slots and stays as it is.
+    A file with one row group is read by one task, whatever is done per row.
     """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+    return scan if tasks is None else scan.repartition(tasks)

@@ -1,14 +1,16 @@
 """XML files of flat repeated elements, read record by record.
 
 The built-in XML source hands a whole file to one task. Here the text source
-cuts the files at every closing row tag instead, so one large file is read by
-many tasks, a malformed record does not take its neighbours along, and a file in
-the wrong encoding can be decoded on the way.
+cuts the files before every row's opening tag instead, so one large file is read
+by many tasks, a malformed record does not take its neighbours along, and a file
+in the wrong encoding can be decoded on the way. A piece holds one record with its
+own closing tag, so that a record which is cut off, or which a CDATA section tears
+apart, is seen as malformed and never passes for a whole one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,28 +18,49 @@ from vulnspark.operators.computed import where_computed
 from vulnspark.sources.ordering import DOC_ORDER, document_order_columns
 
 CORRUPT = "_corrupt_record"
+_PATH = "_xml_path"
+_AT = ["_xml_block", "_xml_row"]
 
 
-def undecodable_files(spark: SparkSession, path) -> list[str]:
-    """Files that hold a line which is not UTF-8.
-
-    The lines are checked by the executors. What comes back is at most the list
-    of input files, which the driver holds anyway.
-    """
+def undecodable_files(spark: SparkSession, path) -> DataFrame:
+    """(file) that holds a line which is not UTF-8."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
     )
-    bad = lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).where(~F.col("valid"))
-    return [row["file"] for row in bad.collect()]
+    return lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).where(~F.col("valid")).select("file")
 
 
-def _decoded(value: Column, encoding: str, latin_files: list[str]) -> Column:
-    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+def _decoded(pieces: DataFrame, spark: SparkSession, path, encoding: str) -> DataFrame:
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     if encoding == "latin-1":
-        return latin
-    if latin_files:
-        return F.when(F.col("_metadata.file_path").isin(latin_files), latin).otherwise(value)
-    return value
+        return pieces.withColumn("value", latin)
+    if encoding == "auto":
+        bad = undecodable_files(spark, path).select(F.col("file").alias(_PATH), F.lit(True).alias("_latin"))
+        mixed = pieces.join(bad, _PATH, "left")
+        return mixed.withColumn("value", F.when(F.col("_latin"), latin).otherwise(F.col("value"))).drop("_latin")
+    return pieces
+
+
+def _outside_comments(pieces: DataFrame) -> DataFrame:
+    """Leave out the pieces that begin inside a comment which an earlier piece of the file opened.
+
+    Only pieces with a comment that reaches over an opening tag are looked at in
+    order. Most files have none; a pass over the text finds out, and nothing is joined.
+    """
+    def times(mark: str) -> Column:
+        return F.size(F.split("value", mark)) - 1
+
+    turn = (times("<!--") - times("-->")).cast("int")
+    turns = pieces.select(_PATH, *_AT, turn.alias("turn")).where(F.col("turn") != 0)
+    if turns.isEmpty():
+        return pieces
+    in_file = Window.partitionBy(_PATH).orderBy(*_AT)
+    spans = turns.select(
+        _PATH, F.struct(*_AT).alias("_from"), F.lead(F.struct(*_AT)).over(in_file).alias("_to"), "turn"
+    ).where(F.col("turn") > 0).drop("turn")
+    at = F.struct(*_AT)
+    inside = pieces.join(spans, _PATH).where((at > F.col("_from")) & (F.col("_to").isNull() | (at <= F.col("_to"))))
+    return pieces.join(inside.select(_PATH, *_AT).distinct(), [_PATH, *_AT], "left_anti")
 
 
 def read_xml(
@@ -48,44 +71,55 @@ def read_xml(
     encoding: str = "utf-8",
     on_error: str = "fail",
     order: bool = False,
+    comments: bool = True,
 ) -> DataFrame:
-    """One row per ``row_tag`` element.
+    """One row per ``row_tag`` element, self-closing ones included; elements in comments are left out.
 
     ``encoding``: ``utf-8``, ``latin-1`` or ``auto`` (Latin-1 for the files that
     are not valid UTF-8; costs a pass over the text).
     ``on_error``: ``fail``, ``keep`` (adds ``_corrupt_record``), ``drop``, or
-    ``empty`` (no rows at all if one record is malformed).
-    ``order`` adds the document-order columns.
+    ``empty`` (no rows of a file with a malformed record).
+    ``order`` adds the document-order columns. ``comments=False`` spares the pass that
+    looks for comments around records, for files that have none.
     """
     if encoding not in ("utf-8", "latin-1", "auto"):
         raise ValueError(f"unknown encoding {encoding!r}")
     if on_error not in ("fail", "keep", "drop", "empty"):
         raise ValueError(f"unknown on_error {on_error!r}")
 
-    latin_files = undecodable_files(spark, path) if encoding == "auto" else []
-    opening = rf"<{row_tag}(?=[\s/>])"
-    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    pieces = pieces.where(F.col("value").rlike(opening)).select(
-        F.regexp_extract(
-            _decoded(F.col("value"), encoding, latin_files), f"(?s){opening}.*", 0
-        ).alias("record"),
-        *(document_order_columns() if order else []),
+    pieces = spark.read.option("lineSep", f"<{row_tag}").text(path).select(
+        "value", F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.file_block_start").alias(_AT[0]),
+        F.monotonically_increasing_id().alias(_AT[1]), *(document_order_columns() if order else []),
     )
+    pieces = _decoded(pieces, spark, path, encoding)
+    if comments:
+        pieces = _outside_comments(pieces)
+    # What follows the tag's name, up to the last closing tag before the next opening one.
+    head = r"^(?:\s[^<>]*)?"
+    closed = F.regexp_extract("value", rf"(?s)^.*</{row_tag}\s*>", 0)
+    record = (
+        F.when(F.col("value").rlike(head + "/>"), F.regexp_extract("value", head + "/>", 0))
+        .when(closed != "", closed)
+        .otherwise(F.col("value"))
+    )
+    records = pieces.where(F.col("value").rlike(head + "/?>")).withColumn("record", F.concat(F.lit(f"<{row_tag}"), record))
 
     target, options = schema, {"rowTag": row_tag, "mode": "FAILFAST"}
     if on_error != "fail":
         target = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         options = {"rowTag": row_tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = F.from_xml(F.concat("record", F.lit(f"</{row_tag}>")), target, options)
-    kept_order = [F.col(c) for c in DOC_ORDER] if order else []
-    parsed_once = where_computed(pieces.select(parsed.alias("r"), *kept_order), F.col("r").isNotNull())
-    rows = parsed_once.select("r.*", *kept_order)
+    parsed = F.from_xml(F.col("record"), target, options)
+    beside = [F.col(c) for c in DOC_ORDER] if order else []
+    if on_error == "empty":
+        beside.append(F.col(_PATH))
+    parsed_once = where_computed(records.select(parsed.alias("r"), *beside), F.col("r").isNotNull())
+    rows = parsed_once.select("r.*", *beside)
 
     if on_error == "drop":
         return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if on_error == "empty":
-        bad = rows.agg(F.count(CORRUPT)).scalar()
-        return rows.where(bad == 0).drop(CORRUPT)
+        bad = rows.where(F.col(CORRUPT).isNotNull()).select(_PATH).distinct()
+        return rows.join(bad, _PATH, "left_anti").drop(CORRUPT, _PATH)
     return rows
 
 

@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slots(spark: SparkSession) -> int:
+    """The test tables are single files of one row group each; their rows are dealt to this many tasks."""
+    return spark.sparkContext.defaultParallelism
+
+
 # -- SQL fragments --------------------------------------------------------------
 
 SQL_WORD = r"[\p{L}\p{N}_]"

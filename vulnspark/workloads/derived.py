@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnspark.sources.scan import spread
-from vulnspark.workloads.base import table
+from vulnspark.workloads.base import slots, table
 
 CVSS_TYPE = "array<struct<score:string,severity:string,version:string,vector:string>>"
 
@@ -51,7 +51,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(["3.0", "3.1", "2.0"], d % 3),
         F.lit(None).cast("string"),
     )
-    return spread(table(spark, sf_dir, "documents")).select(
+    return spread(table(spark, sf_dir, "documents"), slots(spark)).select(
         d.alias("_seq"),
         F.when(d % 97 == 5, "unknown")
         .otherwise(F.concat(F.lit("CVE-2024-"), number.cast("string")))
@@ -151,7 +151,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(["4.0", "3.1"], line % 2),
     )
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
+    return spread(table(spark, sf_dir, "lineitem").select(*columns), slots(spark)).select(
         F.concat_ws("-", F.lit("CVE"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
         F.slice(F.array(first, second, first), F.lit(1), (line % 4).cast("int")).alias("cvss"),
     )

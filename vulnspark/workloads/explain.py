@@ -9,11 +9,14 @@ from vulnspark.operators.cleaning import clean_records
 from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import explanation_input
 from vulnspark.sources.scan import spread
-from vulnspark.plans.consumers import EXPLAIN_LIMIT, explanations
+from vulnspark.plans.consumers import explanations
 from vulnspark.workloads import records
-from vulnspark.workloads.base import table, workload
+from vulnspark.workloads.base import slots, table, workload
 from vulnspark.workloads.derived import raw_records
 
+# How many rows the queries on the first rows ask for.
+EXPLAIN_LIMIT = 200
+
 _PROMPT_SQL = (
     "'" + enrich.INSTRUCTIONS + "' || chr(10) || 'CVE ID: ' || doc_id || chr(10) || 'Attack Type: ' || lang "
     "|| chr(10) || 'Description: ' || text || chr(10) || chr(10) || 'Explanation:'"
@@ -55,7 +58,7 @@ def preview80(spark, sf_dir):
           ELSE length({_PROMPT_SQL}) || ' characters' END AS ai_explanation FROM documents""",
 )
 def batch_explain_stub(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), slots(spark))
     prompt = enrich.prompt(F.col("doc_id").cast("string"), F.col("lang"), F.col("text"))
     return enrich.explain(docs, prompt, length_model).select("doc_id", "ai_explanation")
 
@@ -72,7 +75,7 @@ def batch_explain_stub(spark, sf_dir):
 def explanation_rows(spark, sf_dir):
     """The first 200 feature rows with a description, explained."""
     features = build_features(nest_records(clean_records(raw_records(spark, sf_dir))), ["_seq"])
-    return explanations(to_feature_xml(features), length_model, ["cve_id"])
+    return explanations(to_feature_xml(features), length_model, ["cve_id"], EXPLAIN_LIMIT)
 
 
 @workload(
@@ -80,18 +83,18 @@ def explanation_rows(spark, sf_dir):
     """SELECT doc_id, coalesce(source, 'Unknown') AS vendor, title, severity, trim(text) AS description FROM (
          SELECT d.doc_id, source, CASE WHEN quality IS NULL THEN 'Unknown' WHEN quality = 1 THEN '' ELSE lang END AS title,
            CASE WHEN toxic = 1 THEN 'HIGH' ELSE 'Unknown' END AS severity,
-           CASE WHEN toxic = 0 THEN '  ' ELSE lang END AS text
+           CASE WHEN toxic = 0 THEN '  ' ELSE text END AS text
          FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE trim(text) <> ''""",
 )
 def explanation_inputs(spark, sf_dir):
     joined = (
         table(spark, sf_dir, "documents")
-        .select("doc_id", "lang", "source")
+        .select("doc_id", "lang", "source", "text")
         .join(table(spark, sf_dir, "labels"), "doc_id", "left")
     )
     title = F.when(F.col("quality") == 1, "").when(F.col("quality").isNotNull(), F.col("lang"))
     severity = F.when(F.col("toxic") == 1, "HIGH")
-    description = F.when(F.col("toxic") == 0, "  ").otherwise(F.col("lang"))
+    description = F.when(F.col("toxic") == 0, "  ").otherwise(F.col("text"))
     none = F.lit(None).cast("string")
     xml = joined.select(
         F.col("doc_id").alias("_doc"), none.alias("cve_id"), title.alias("title"), F.col("source").alias("vendor"),

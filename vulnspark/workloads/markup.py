@@ -9,7 +9,7 @@ from vulnspark.plans.advisories import collect_records
 from vulnspark.sources.scan import spread
 from vulnspark.sources.robots import disallowed_paths
 from vulnspark.workloads import base
-from vulnspark.workloads.base import table, workload
+from vulnspark.workloads.base import slots, table, workload
 from vulnspark.workloads.records import rating_texts
 
 
@@ -75,7 +75,7 @@ def page_list_items(spark, sf_dir):
 def page_elements(spark, sf_dir):
     """The parsed element list of the stored pages, counted by tag."""
     parsed = page_ops.list_elements(
-        spread(table(spark, sf_dir, "pages").select("page_id", "html")),
+        spread(table(spark, sf_dir, "pages").select("page_id", "html"), slots(spark)),
         tags=("h1", "nav", "li"), text_tags=("h1", "li"),
     )
 
@@ -126,7 +126,7 @@ def advisory_pages(spark, sf_dir):
         table_markup, F.lit("</body></html>"),
     )
     attack = F.get(F.array(*[F.lit(a) for a in page_ops.ATTACK_TERMS]), (d % 4).cast("int"))
-    return spread(table(spark, sf_dir, "documents")).select(d.alias("seq"), attack.alias("attack"), html.alias("html"))
+    return spread(table(spark, sf_dir, "documents"), slots(spark)).select(d.alias("seq"), attack.alias("attack"), html.alias("html"))
 
 
 _RECORD_SQL = f"""
@@ -161,10 +161,16 @@ def page_records(spark, sf_dir):
     "collected_records",
     f"""SELECT * EXCLUDE (rank) FROM (
           SELECT *, row_number() OVER (PARTITION BY "attackType" ORDER BY seq) AS rank FROM ({_RECORD_SQL}))
-        WHERE rank <= 600""",
+        WHERE rank <= 100""",
 )
 def collected_records(spark, sf_dir):
-    """At most 600 pages per search term, parsed and tagged."""
+    """At most 100 pages per search term, parsed and tagged."""
+    return _shown(collect_records(advisory_pages(spark, sf_dir), limit=100))
+
+
+@workload("all_collected_records", _RECORD_SQL)
+def all_collected_records(spark, sf_dir):
+    """Every page of every search term, as it is without a limit."""
     return _shown(collect_records(advisory_pages(spark, sf_dir)))
 
 

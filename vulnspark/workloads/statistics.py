@@ -178,11 +178,12 @@ def share_by_segment(spark, sf_dir):
 
 @workload(
     "histogram_quantity",
-    """SELECT least(floor(l_quantity / 5.0::DOUBLE), 9) * 5.0::DOUBLE AS bin_start, count(*) AS n
-       FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1""",
+    """SELECT CASE WHEN l_quantity = 30 THEN 25.0::DOUBLE ELSE floor(l_quantity / 5.0::DOUBLE) * 5.0::DOUBLE END AS bin_start, count(*) AS n
+       FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1""",
 )
 def histogram_quantity(spark, sf_dir):
-    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 5.0, 0.0, 50.0)
+    """Named range 10 to 30, with values on both sides of it."""
+    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 5.0, 10.0, 30.0)
 
 
 @workload(

@@ -121,16 +121,16 @@ def null_markers(spark, sf_dir):
 
 @workload(
     "unknown_filter",
-    """SELECT doc_id, lang FROM (
-         SELECT d.doc_id, CASE d.lang WHEN 'fr' THEN 'UNKNOWN' ELSE d.lang END AS lang,
+    """SELECT doc_id, lang, description FROM (
+         SELECT d.doc_id, d.lang, CASE d.lang WHEN 'fr' THEN 'UNKNOWN' ELSE d.text END AS description,
            CASE WHEN l.quality IS NULL THEN 'Unknown' WHEN l.toxic = 1 THEN '' ELSE d.source END AS vendor
          FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-       WHERE lower(lang) <> 'unknown' AND lower(vendor) <> 'unknown'""",
+       WHERE lower(description) <> 'unknown' AND lower(vendor) <> 'unknown'""",
 )
 def unknown_filter(spark, sf_dir):
     joined = (
         table(spark, sf_dir, "documents")
-        .select("doc_id", "lang", "source")
+        .select("doc_id", "lang", "source", "text")
         .join(table(spark, sf_dir, "labels"), "doc_id", "left")
     )
     vendor = (
@@ -138,9 +138,9 @@ def unknown_filter(spark, sf_dir):
         .when(F.col("toxic") == 1, "")
         .otherwise(F.col("source"))
     )
-    lang = F.when(F.col("lang") == "fr", "UNKNOWN").otherwise(F.col("lang"))
-    rows = joined.select("doc_id", lang.alias("lang"), vendor.alias("vendor"))
-    return rows.where(~has_unknown(["lang", "vendor"])).select("doc_id", "lang")
+    description = F.when(F.col("lang") == "fr", "UNKNOWN").otherwise(F.col("text"))
+    rows = joined.select("doc_id", "lang", description.alias("description"), vendor.alias("vendor"))
+    return rows.where(~has_unknown(["description", "vendor"])).select("doc_id", "lang", "description")
 
 
 @workload(

@@ -27,11 +27,11 @@ class Settings:
     small batches.
     """
 
-    sample: int = 12_000
+    sample: int = 8_000
     buckets: int = 1 << 18
     dims: int = 4
     grams: tuple[int, ...] = (3, 4, 5)
-    epochs: int = 12
+    epochs: int = 10
     steps: int = 500
     batch: int = 256
     rate: float = 0.05
@@ -145,12 +145,15 @@ def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
     epochs = max(settings.epochs, settings.steps // -(-len(y) // size))
     step, total = 0, epochs * -(-len(y) // size)
 
-    def adam(i, p, g, rows=slice(None)):
+    def adam(i, p, g):
         m, v = moments[i]
-        m[rows] = 0.9 * m[rows] + 0.1 * g
-        v[rows] = 0.99 * v[rows] + 0.01 * g * g
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.99
+        v += 0.01 * g * g
         rate = settings.rate * (1 - (step - 1) / total)
-        p[rows] -= rate * (m[rows] / (1 - 0.9**step) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-8) + settings.decay * p[rows])
+        p *= 1 - rate * settings.decay
+        p -= rate / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -164,8 +167,7 @@ def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
             n /= np.maximum(1e-9, np.bincount(doc, n, len(batch)))[doc]  # a word's share of its text
             used, inner = np.unique(ids, return_inverse=True)
             flat = buckets[_ranges(first[used], counts[used])]
-            rows, where = np.unique(flat, return_inverse=True)
-            word = _sum_by(vectors[rows][where], counts[used]) / counts[used][:, None]
+            word = _sum_by(vectors[flat], counts[used]) / counts[used][:, None]
             mean = _sum_by(word[inner] * n[:, None], sizes)
             z = mean @ weights + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -177,9 +179,9 @@ def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
                 [np.bincount(inner, d_mean[doc, k] * n, len(used)) for k in range(settings.dims)], axis=1
             ) / counts[used][:, None]
             spread = np.repeat(d_word, counts[used], axis=0)
-            d_rows = np.stack([np.bincount(where, spread[:, k], len(rows)) for k in range(settings.dims)], axis=1)
+            d_vectors = np.stack([np.bincount(flat, spread[:, k], settings.buckets) for k in range(settings.dims)], axis=1)
             d_weights = mean.T @ p
-            adam(0, vectors, d_rows, rows)
+            adam(0, vectors, d_vectors)
             adam(1, weights, d_weights)
             adam(2, bias, p.sum(axis=0))
     return Model(settings, vectors, weights, bias)

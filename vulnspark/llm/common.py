@@ -104,6 +104,8 @@ def map_rows(
                     for v, f in zip([*part.columns[:n_keep], *made], schema)
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        # The worker lives on; what it no longer needs goes back.
+        pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(run, plain)
     return out.select(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vulnspark.llm.common import as_bytes, col, map_rows, stored
 
 PIECES = "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>"
-CACHE_WORDS, KEPT_WORDS = 600_000, 150_000
+CACHE_WORDS, KEPT_WORDS = 450_000, 150_000
 # The splitting pattern of the tokenizer file: a fixed value.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SALTS = 64

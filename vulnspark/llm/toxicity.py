@@ -14,7 +14,7 @@ from vulnspark.llm.common import _BYTE, as_bytes, col, map_rows, mixed
 LETTERS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256)
 )
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)

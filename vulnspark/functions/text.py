@@ -136,6 +136,18 @@ def iso_date(c: Column) -> Column:
     return F.try_to_date(c, "yyyy-M-d")
 
 
+# Formats of dates with a time that the timeline accepts besides plain dates.
+TIME_FORMATS = (
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss", "yyyy/M/d", "M/d/yyyy",
+)
+
+
+def any_date(c: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """The day of a plain date or of a text in one of the formats, the first that fits; else null."""
+    return F.coalesce(iso_date(c), *(F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats))
+
+
 def present_or(c: Column, default: str) -> Column:
     """Trimmed text; absent, blank, ``unknown`` and ``Unknown`` give the default."""
     text = strip(c)

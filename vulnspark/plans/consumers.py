@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.nested import SEVERITIES
-from vulnspark.functions.text import iso_date
+from vulnspark.functions.text import any_date
 from vulnspark.operators import enrich, filters, search, stats
 from vulnspark.operators.dedup import first_n
 from vulnspark.operators.views import dashboard_view, explanation_input
@@ -52,7 +52,7 @@ def dashboard(feature_xml: DataFrame, **choices) -> dict[str, DataFrame]:
 
 def eda_report(eda: DataFrame) -> dict[str, DataFrame]:
     """All tables of the exploratory report."""
-    day = iso_date(F.col("published"))
+    day = any_date(F.col("published"))
     columns = ["cve_id", "vendor", "attack_type", "cvss_score", "severity", "published"]
     return {
         "total": stats.row_count(eda),

@@ -11,7 +11,7 @@ from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import dashboard_view
 from vulnspark.session import scratch_path
 from vulnspark.sources import read_records, read_xml, write_records, write_xml
-from vulnspark.workloads import records, relevance
+from vulnspark.workloads import explain, records, relevance
 from vulnspark.workloads.base import WORKLOADS, table, workload
 from vulnspark.workloads.derived import RAW_SQL, raw_records
 
@@ -62,6 +62,16 @@ def feature_xml_round_trip(spark, sf_dir):
     return dashboard_view(back)
 
 
+@workload("explanations_xml_round_trip", WORKLOADS["explanation_rows"].sql)
+def explanations_xml_round_trip(spark, sf_dir):
+    """Explanations written as XML and read back."""
+    path = scratch_path(spark, "explanations-xml")
+    found = explain.explanation_rows(spark, sf_dir)
+    write_xml(found, path, root_tag="cve_explanations")
+    back = read_xml(spark, path, found.schema)
+    return back.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in found.columns))
+
+
 @workload("stored_index_search", WORKLOADS["tfidf_search_all"].sql)
 def stored_index_search(spark, sf_dir):
     """Build the index tables once, then search them."""

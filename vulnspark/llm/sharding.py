@@ -55,19 +55,20 @@ def _walk(loads: DataFrame, shards: int, slack: float) -> DataFrame:
     add up to the number of keys at least. Everything here has one row per arc, shard
     or range, a number that the ring alone bounds.
     """
-    total = loads.agg(F.sum("load").alias("total"))
     exact = F.floor(F.col("total") / shards) + F.when(F.col("shard") < F.col("total") % shards, 1).otherwise(0)
     capacity = F.greatest(exact, F.ceil(F.col("total") * (1 + slack) / shards)) if slack > 0 else exact
     before = F.sum("load").over(W.partitionBy("shard").orderBy("arc")) - F.col("load")
     arcs = (
-        loads.crossJoin(F.broadcast(total))  # one row
+        loads.withColumn("total", F.sum("load").over(W.partitionBy(F.lit(0))))
         .withColumn("capacity", capacity.cast("long"))
         .withColumn("home", F.least("load", F.greatest(F.col("capacity") - before, F.lit(0))))
         .withColumn("over", F.col("load") - F.col("home"))
     )
-    room = arcs.groupBy("shard").agg((F.max("capacity") - F.sum("home")).alias("room"))
-    rooms = room.agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "room"))), lambda x: x["room"]).alias("rooms"))
-    rounds = arcs.agg(F.array_sort(F.collect_list(F.struct("arc", "shard", "over"))).alias("lap")).crossJoin(rooms)
+    room = F.col("capacity") - F.sum("home").over(W.partitionBy("shard"))
+    rounds = arcs.withColumn("room", room).agg(
+        F.array_sort(F.collect_list(F.struct("arc", "shard", "over"))).alias("lap"),
+        F.transform(F.array_sort(F.collect_set(F.struct("shard", "room"))), lambda x: x["room"]).alias("rooms"),
+    )
     second = F.transform("lap", lambda x: F.struct(x["arc"].alias("arc"), x["shard"].alias("shard"), F.lit(0).cast("long").alias("over")))
 
     def visit(state, arc):

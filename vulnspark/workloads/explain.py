@@ -11,7 +11,7 @@ from vulnspark.operators.views import explanation_input
 from vulnspark.sources.scan import spread
 from vulnspark.plans.consumers import explanations
 from vulnspark.workloads import records
-from vulnspark.workloads.base import slots, table, workload
+from vulnspark.workloads.base import WORKLOADS, slots, table, workload
 from vulnspark.workloads.derived import raw_records
 
 # How many rows the queries on the first rows ask for.
@@ -78,6 +78,13 @@ def explanation_rows(spark, sf_dir):
     return explanations(to_feature_xml(features), length_model, ["cve_id"], EXPLAIN_LIMIT)
 
 
+@workload("all_explanation_rows", WORKLOADS["explanation_rows"].sql.removesuffix(f" LIMIT {EXPLAIN_LIMIT}"))
+def all_explanation_rows(spark, sf_dir):
+    """Every feature row with a description, explained."""
+    features = build_features(nest_records(clean_records(raw_records(spark, sf_dir))), ["_seq"])
+    return explanations(to_feature_xml(features), length_model, ["cve_id"])
+
+
 @workload(
     "explanation_input",
     """SELECT doc_id, coalesce(source, 'Unknown') AS vendor, title, severity, trim(text) AS description FROM (

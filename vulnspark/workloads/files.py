@@ -72,6 +72,16 @@ def explanations_xml_round_trip(spark, sf_dir):
     return back.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in found.columns))
 
 
+@workload("all_explanations_xml_round_trip", WORKLOADS["all_explanation_rows"].sql)
+def all_explanations_xml_round_trip(spark, sf_dir):
+    """Explanations of every row with a description, written as XML and read back."""
+    path = scratch_path(spark, "all-explanations-xml")
+    found = explain.all_explanation_rows(spark, sf_dir)
+    write_xml(found, path, root_tag="cve_explanations")
+    back = read_xml(spark, path, found.schema)
+    return back.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in found.columns))
+
+
 @workload("stored_index_search", WORKLOADS["tfidf_search_all"].sql)
 def stored_index_search(spark, sf_dir):
     """Build the index tables once, then search them."""

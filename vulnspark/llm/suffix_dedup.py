@@ -39,19 +39,19 @@ def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int,
     sums = byte_sums(data)
     place = np.arange(n)
     hashes = stretch_hash(sums, place, place + gram)
-    low = np.uint64((1 << 24) - 1)
-    # A slice is shorter than 2^24 unless it is one text; then ties go by the lower bits of the place.
-    order = (hashes & ~low) | (place.astype(np.uint64) & low)
+    # Below the hash stands the place in a block of ``span`` grams: a window meets two blocks at most,
+    # and of equal hashes the first block's counts, so the first of equals wins wherever the text is cut.
+    bits = np.uint64(max(1, (span - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
     padded = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = order
+    padded[:n] = (hashes & ~low) | (place % span).astype(np.uint64)
     blocks = padded.reshape(-1, span)
     up_to = np.minimum.accumulate(blocks, axis=1).ravel()
     from_on = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.arange(n - span + 1)
-    least = np.minimum(from_on[: len(starts)], up_to[span - 1 : span - 1 + len(starts)])
-    base = starts & ~np.int64(low)
-    at = base | (least & low).astype(np.int64)
-    at += np.where(at < starts, np.int64(1) << 24, 0)
+    here, next_ = from_on[: len(starts)], up_to[span - 1 : span - 1 + len(starts)]
+    first = here >> bits <= next_ >> bits
+    at = np.where(first, starts, starts + span - 1) // span * span + (np.where(first, here, next_) & low).astype(np.int64)
     # Windows that cross from one text to the next do not count.
     owner = np.searchsorted(ends, starts, "right")
     inside = starts + width <= ends[np.minimum(owner, len(ends) - 1)]

@@ -128,7 +128,7 @@ def _send(table: pa.Table, width: int, frequent: np.ndarray, groups: int, bucket
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Build the subtree of each group: leaves with one path to full depth meet in a deep node.
+    """Group the hashes of whole windows: equal ones are leaves that would meet in a node at full depth.
 
     Back goes, per block, which of its suffixes meet one of a smaller id there.
     """
@@ -197,8 +197,8 @@ def remove_repeated_words(
 
     A suffix is a place in a text with ``width`` words from there. Suffixes are dealt to
     groups by prefix: by the first word, or by as many more words as it takes until
-    not too many suffixes share it. Each group's tree fits in memory; only its nodes
-    at full depth matter, so that a suffix is held as the hash of its path. Suffixes
+    not too many suffixes share it. No tree is built: a suffix is the hash of its whole
+    window, and equal hashes meet. Repeats longer than ``width`` are not reported as such. Suffixes
     that a block of documents has several times are sent once, so a passage in a third
     of all documents makes one row per block.
 

@@ -1,16 +1,11 @@
-import re
-
 from __spark_entry__ import ALL
 
 SF = "/root/testdata/sf0.01"
 
 
 def test_every_row_with_a_description_is_explained(spark):
-    for limited, whole in (("explanation_rows", "all_explanation_rows"), ("explanations_xml_round_trip", "all_explanations_xml_round_trip")):
-        assert re.search(r" LIMIT \d+$", ALL[limited].sql) and " LIMIT " not in ALL[whole].sql[-40:]
-    from vulnspark.workloads.explain import EXPLAIN_LIMIT
-
     wanted = ALL["feature_table"].run(spark, SF).filter("description <> ''").count()
-    assert wanted > EXPLAIN_LIMIT
-    assert ALL["all_explanation_rows"].run(spark, SF).count() == wanted
-    assert ALL["all_explanations_xml_round_trip"].run(spark, SF).count() == wanted
+    assert wanted > 200
+    for name in ("explanation_rows", "all_explanation_rows", "explanations_xml_round_trip", "all_explanations_xml_round_trip"):
+        assert " LIMIT " not in ALL[name].sql[-40:]
+        assert ALL[name].run(spark, SF).count() == wanted

@@ -20,7 +20,7 @@ def test_all_stages(spark, tmp_path):
     (tmp_path / "html").mkdir()
     for i in range(1, 4):
         (tmp_path / "html" / f"{i}.html").write_text(PAGE.format(i=i))
-    read_pages(spark, str(tmp_path / "html"), "SQL Injection").write.parquet(str(tmp_path / "pages"))
+    read_pages(spark, str(tmp_path / "html"), "SQL Injection").orderBy("url").coalesce(1).write.parquet(str(tmp_path / "pages"))
 
     def run(*args):
         jobs.main([str(tmp_path / x) if x.startswith("@") else x for x in args])
@@ -46,6 +46,26 @@ def test_all_stages(spark, tmp_path):
     assert sorted((r.cve_id, r.ai_explanation) for r in found) == [("CVE-1", "answer"), ("CVE-2", "answer")]
 
 
+def test_the_last_record_of_an_id_is_the_last_in_the_files(spark, tmp_path):
+    """The larger file, which Spark reads first, comes later by name."""
+    base = {n: None for n in schemas.RAW_RECORD.fieldNames()}
+    (tmp_path / "raw").mkdir()
+
+    def record(cve, title):
+        rating = {"version": "3.1", "score": "9.8", "severity": "HIGH", "vector": None}
+        return json.dumps({**base, "cve_id": cve, "title": title, "description": "d", "vendor": "v", "cvss": [rating]})
+
+    (tmp_path / "raw" / "a.json").write_text(record("CVE-1", "old") + "\n" + record("CVE-2", "one") + "\n")
+    (tmp_path / "raw" / "b.json").write_text("\n".join([record("CVE-1", "new")] + [record(f"CVE-{i}", "x" * 400) for i in range(3, 60)]))
+    for name, source, target in (("clean", "raw", "clean"), ("nest", "clean", "nested"), ("features", "nested", "features")):
+        jobs.main([name, str(tmp_path / source), str(tmp_path / target)])
+    jobs.main(["explain", str(tmp_path / "features"), str(tmp_path / "told"), "--model", "test_jobs:answer", "--limit", "3"])
+    found = read_xml(spark, str(tmp_path / "features"), schemas.FEATURE_XML).collect()
+    assert {r.cve_id: r.title for r in found}["CVE-1"] == "new" and len(found) == 59
+    told = read_xml(spark, str(tmp_path / "told"), schemas.EXPLANATIONS).collect()
+    assert sorted(r.cve_id for r in told) == ["CVE-1", "CVE-2", "CVE-3"]
+
+
 def test_clean_json_with_the_word_unknown_for_weaknesses(spark, tmp_path):
     """Arrays of clean records written elsewhere may say ["unknown"] instead of a list."""
     base = {n: None for n in schemas.CLEAN_RECORD.fieldNames()}

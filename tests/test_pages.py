@@ -60,9 +60,19 @@ def test_columns_are_those_of_a_record(spark):
 
 def test_unclosed_and_stray_tags(spark):
     html = "</div><div><p>a<p>b</div><p>c</p></span><li>x<li>y</ul>"
+    row = p.list_elements(spark.createDataFrame([(html,)], "html string")).first()
+    found = [(e.tag, row.page_text[e.start : e.stop], e.parent) for e in row.elements]
+    assert found == [("div", "ab", -1), ("p", "ab", 0), ("p", "b", 1), ("p", "c", -1), ("li", "xy", -1), ("li", "y", 4)]
+
+
+def test_nested_elements_do_not_repeat_their_text(spark):
+    """8,000 unclosed items, each holding all that follow."""
+    html = "".join(f"<li>item {i}" for i in range(8000))
     df = p.list_elements(spark.createDataFrame([(html,)], "html string"))
-    found = [(e.tag, e.text, e.parent) for e in df.first().elements]
-    assert found == [("div", None, -1), ("p", "ab", 0), ("p", "b", 1), ("p", "c", -1), ("li", "xy", -1), ("li", "y", 4)]
+    batches = df.toArrow()
+    assert batches.nbytes < 10 * len(html) and len(df.first().elements) == 8000
+    found = p.extract_records(spark.createDataFrame([(html, "x")], "html string, attack string")).first()
+    assert found.cve_id is None and found.affected_versions == []
 
 
 def test_cap_tag_and_union(spark):
@@ -80,7 +90,10 @@ def test_cap_tag_and_union(spark):
 def test_links_and_text_block(spark):
     html = '<a class=x href="/CVERecord?id=1">a</a><a>no</a><a href="/other">b</a><a href="/CVERecord?id=2"></a>'
     df = spark.createDataFrame([(html, "A", None)], "html string, cve_id string, title string")
-    assert df.select(p.links(F.col("html")).alias("v")).first().v == ["/CVERecord?id=1", "/CVERecord?id=2"]
+    assert [r.link for r in p.links(df).collect()] == ["/CVERecord?id=1", "/CVERecord?id=2"]
+    odd = "<A HREF='/x?a=1&amp;b'>a</A><!-- <a href='/no'>--><a href=/y>b</a><a href>c</a><script>'<a href=\"/s\">'</script>"
+    pages = spark.createDataFrame([(1, odd, "old"), (2, None, "old"), (3, "", "old")], "id int, html string, link string")
+    assert [tuple(r) for r in p.links(pages, prefix="/").collect()] == [(1, "/x?a=1&b"), (1, "/y")]
     shown = df.select(p.record_text({"CVE ID": "cve_id", "Title": "title"}).alias("v")).first().v
     assert shown == "CVE ID       : A\nTitle        : None\n"
 

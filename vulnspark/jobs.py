@@ -7,6 +7,11 @@
     eda        nested XML                           -> one table per report
     dashboard  feature XML                          -> one table per panel
     explain    feature XML                          -> explanations XML
+
+Files come in the order of their names, records in the order in which they stand in
+them. The first stage that reads files without numbers numbers the records; the stages
+write the number with each record (``_seq``, in XML an attribute) and go by it, whatever
+becomes of the files in between. "The last record of an id" and "the first N" mean that order.
 """
 
 from __future__ import annotations
@@ -18,38 +23,49 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from vulnspark import schemas
+from vulnspark.schemas import SEQ, with_seq
 from vulnspark.operators.cleaning import clean_records
 from vulnspark.operators.features import build_features, quality_report, to_feature_xml
 from vulnspark.operators.pages import to_raw_columns
 from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import dashboard_view, eda_view
 from vulnspark.plans import collect_records, consumers
-from vulnspark.sources import DOC_ORDER, read_records, read_xml, write_records, write_xml
+from vulnspark.sources import in_sequence, numbered, read_records, read_xml, with_document_order, write_records, write_xml
+
+
+def _records(spark: SparkSession, a: argparse.Namespace, schema) -> DataFrame:
+    return in_sequence(read_records(spark, a.input, with_seq(schema), a.array, order=True), SEQ)
+
+
+def _nested(spark: SparkSession, a: argparse.Namespace, schema) -> DataFrame:
+    return in_sequence(read_xml(spark, a.input, with_seq(schema), encoding=a.encoding, order=True), SEQ)
 
 
 def collect(spark: SparkSession, a: argparse.Namespace) -> None:
-    pages = spark.read.parquet(a.input)
-    write_records(to_raw_columns(collect_records(pages, order=[a.order], limit=a.limit)), a.output)
+    pages = numbered(with_document_order(spark.read.parquet(a.input)), SEQ)
+    order = [*([a.order] if a.order else []), SEQ]
+    found = collect_records(pages, order=order, limit=a.limit)
+    write_records(to_raw_columns(found, SEQ), a.output, array=a.to_array)
 
 
 def clean(spark: SparkSession, a: argparse.Namespace) -> None:
-    raw = read_records(spark, a.input, schemas.RAW_RECORD, a.array)
-    write_records(clean_records(raw, legacy=a.legacy), a.output)
+    raw = _records(spark, a, schemas.RAW_RECORD)
+    write_records(clean_records(raw, legacy=a.legacy), a.output, array=a.to_array)
 
 
 def nest(spark: SparkSession, a: argparse.Namespace) -> None:
-    write_xml(nest_records(read_records(spark, a.input, schemas.CLEAN_RECORD, a.array)), a.output)
+    write_xml(nest_records(_records(spark, a, schemas.CLEAN_RECORD)), a.output)
 
 
 def features(spark: SparkSession, a: argparse.Namespace) -> None:
-    nested = read_xml(spark, a.input, schemas.RAW_XML, encoding=a.encoding, order=True)
-    table = build_features(nested, DOC_ORDER)
+    nested = _nested(spark, a, schemas.RAW_XML)
+    table = build_features(nested, [SEQ], keep=[SEQ])
     if a.parquet:
         table.write.parquet(a.parquet)
         table = spark.read.parquet(a.parquet)
     write_xml(to_feature_xml(table), a.output)
     if a.report:
-        quality_report(nested, DOC_ORDER).write.json(a.report)
+        quality_report(nested, [SEQ]).write.json(a.report)
 
 
 def _kept(view: DataFrame, path: str) -> DataFrame:
@@ -80,8 +96,7 @@ def explain(spark: SparkSession, a: argparse.Namespace) -> None:
     loaded = importlib.import_module(module)
     cloudpickle.register_pickle_by_value(loaded)
     predict = getattr(loaded, name)
-    source = read_xml(spark, a.input, schemas.FEATURE_XML, encoding=a.encoding, order=True)
-    found = consumers.explanations(source, predict, DOC_ORDER, a.limit)
+    found = consumers.explanations(_nested(spark, a, schemas.FEATURE_XML), predict, [SEQ], a.limit)
     write_xml(found, a.output, root_tag="cve_explanations")
 
 
@@ -97,12 +112,14 @@ def parser() -> argparse.ArgumentParser:
         return sub
 
     one = job(collect)
-    one.add_argument("--order", default="url")
+    one.add_argument("--order", help="a column; the limit takes the pages that come first by it instead of by document order")
     one.add_argument("--limit", type=int, help="at most so many pages per search term")
-    one = job(clean)
-    one.add_argument("--array", action="store_true", help="the files hold JSON arrays")
-    one.add_argument("--legacy", action="store_true")
-    job(nest).add_argument("--array", action="store_true", help="the files hold JSON arrays")
+    two = job(clean)
+    two.add_argument("--legacy", action="store_true")
+    for sub in (one, two):
+        sub.add_argument("--to-array", action="store_true", help="write JSON arrays, one per file")
+    for sub in (two, job(nest)):
+        sub.add_argument("--array", action="store_true", help="the files hold JSON arrays")
     one = job(features)
     one.add_argument("--parquet", help="also keep the feature table here")
     one.add_argument("--report", help="write the rows dropped per step here")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: what stands for an explanation that could not be had.
 FAILED = "Error generating explanation."
 
 INSTRUCTIONS = (

@@ -97,9 +97,11 @@ def add_features(flat: DataFrame) -> DataFrame:
     )
 
 
-def build_features(nested_rows: DataFrame, order: Sequence[str]) -> DataFrame:
+def build_features(nested_rows: DataFrame, order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Filter, normalise, deduplicate and derive: one exchange, by ``cve_id``.
 
+    ``keep`` names columns that start with an underscore and stay beside the 16 of the table.
+
     Only the vendor is normalised ahead of the exchange because a filter needs
     it; the text work runs on the surviving rows.
     """
@@ -107,7 +109,7 @@ def build_features(nested_rows: DataFrame, order: Sequence[str]) -> DataFrame:
     known = where_computed(named, ~has_unknown([*UNKNOWN_CHECKED, "vendor_clean"]))
     latest = keep_last(known, ["cve_id"], order).withColumn("severity_level", picked_severity())
     rated = where_computed(latest, ~is_blank_severity(F.col("severity_level")))
-    return add_features(rated).select(*schemas.FEATURES.fieldNames())
+    return add_features(rated).select(*keep, *schemas.FEATURES.fieldNames())
 
 
 def quality_report(nested_rows: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -146,12 +148,16 @@ def quality_report(nested_rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def to_feature_xml(features: DataFrame) -> DataFrame:
-    """Feature table to the nested, all-text shape of its XML file; null is empty."""
+    """Feature table to the nested, all-text shape of its XML file; null is empty.
+
+    Columns that start with an underscore become attributes of the record.
+    """
 
     def shown(name: str, alias: str | None = None) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(alias or name)
 
     return features.select(
+        *[F.col(x) for x in features.columns if x.startswith("_")],
         shown("cve_id"),
         shown("title"),
         shown("vendor_clean", "vendor"),

@@ -1,17 +1,21 @@
 """Records from stored advisory pages.
 
 Markup is the one thing the built-in functions cannot parse. A small Python step
-turns each page into its list of elements; everything after it (choice by tag,
-class and place, trimming, defaults) is built-in expressions over that list.
-Simple pulls from simple markup (``tag_texts``, ``links``) need no Python at all.
+turns each page into its text, once, and the list of its elements, each with the stretch of
+the text it holds; so the result stays in proportion to the page, however deep elements
+are nested. Everything after it (choice by tag, class and place, cutting out text, trimming,
+defaults) is built-in expressions. Simple pulls from simple markup (``tag_texts``) need no
+Python at all.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,24 +32,42 @@ ROWS_PER_RESULT_PAGE = 200
 RESULT_PAGES = 3
 RECORD_LINK = "/CVERecord?id="
 
-# Elements a record is built from, and those among them whose text is used.
+# The labels of a printed record and the columns behind them.
+RECORD_LABELS = {
+    "CVE ID": "cve_id",
+    "Title": "title",
+    "Description": "description",
+    "Published": "published_date",
+    "Modified": "last_modified_date",
+    "CWE": "cwe",
+    "CVSS": "cvss",
+    "Vendor": "vendor",
+    "Product": "product",
+    "Affected": "affected_versions",
+    "Attack Type": "attackType",
+}
+
+# Elements a record is built from.
 RECORD_TAGS = ("h1", "p", "time", "div", "ul", "li", "nav", "table", "tbody", "tr", "td")
-TEXT_TAGS = ("h1", "p", "time", "li", "td")
 
+# ``start`` and ``stop`` bound the element's text within the text of the page.
 ELEMENTS = T.ArrayType(
     T.StructType(
         [
             T.StructField("at", T.IntegerType()),
             T.StructField("last", T.IntegerType()),
             T.StructField("parent", T.IntegerType()),
+            T.StructField("start", T.IntegerType()),
+            T.StructField("stop", T.IntegerType()),
             T.StructField("tag", T.StringType()),
             T.StructField("id", T.StringType()),
             T.StructField("classes", T.ArrayType(T.StringType())),
             T.StructField("label", T.StringType()),
-            T.StructField("text", T.StringType()),
+            T.StructField("href", T.StringType()),
         ]
     )
 )
+TEXT = "page_text"
 
 # Tag of the element that marks a page the parser could not read to its end.
 REFUSED = "#refused"
@@ -53,44 +75,42 @@ REFUSED = "#refused"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NO_TEXT = frozenset(("script", "style", "template"))
 
+# What a step gathers before it hands on a batch: bytes of text, and elements of some 100 bytes.
+_BATCH_TEXT, _BATCH_ELEMENTS = 4 << 20, 40_000
+
 
 class _ElementLister(HTMLParser):
     """Lists elements in document order with the extent of their content."""
 
-    def __init__(self, tags: Sequence[str], text_tags: Sequence[str]):
+    def __init__(self, tags: Sequence[str]):
         super().__init__(convert_charrefs=True)
-        self.tags, self.text_tags = frozenset(tags), frozenset(text_tags)
+        self.tags = frozenset(tags)
 
-    def list_elements(self, html: str) -> list[dict]:
+    def read(self, html: str) -> tuple[str, list[list]]:
+        """The text of a page and its elements, as values in the order of ``ELEMENTS``."""
         self.reset()
-        self.count, self.open, self.found = 0, [], []
+        self.count, self.open, self.found, self.texts, self.length, self.names = 0, [], [], [], 0, Counter()
         try:
             self.feed(html)
             self.close()
         except (AssertionError, ValueError):
             # Markup the parser refuses: the page is listed as far as it came, marked by an element of its own.
-            self.found.append(
-                {"at": self.count, "last": self.count, "parent": -1, "tag": REFUSED, "id": None, "classes": [], "label": None, "text": None}
-            )
+            self.found.append([self.count, self.count, -1, self.length, self.length, REFUSED, None, [], None, None])
             self.count += 1
         while self.open:
             self._close_one()
-        return sorted(self.found, key=lambda e: e["at"])
+        self.found.sort(key=lambda e: e[0])
+        return "".join(self.texts), self.found
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
-        element = {
-            "at": self.count,
-            "last": self.count,
-            "parent": self.open[-1]["at"] if self.open else -1,
-            "tag": tag,
-            "id": attrs.get("id"),
-            "classes": (attrs.get("class") or "").split(),
-            "label": attrs.get("data-label"),
-            "text": [] if tag in self.text_tags else None,
-        }
+        parent = self.open[-1][0] if self.open else -1
+        classes = (attrs.get("class") or "").split()
+        self.open.append(
+            [self.count, self.count, parent, self.length, self.length, tag, attrs.get("id"), classes, attrs.get("data-label"), attrs.get("href")]
+        )
+        self.names[tag] += 1
         self.count += 1
-        self.open.append(element)
         if tag in _VOID:
             self._close_one()
 
@@ -100,53 +120,67 @@ class _ElementLister(HTMLParser):
             self._close_one()
 
     def handle_endtag(self, tag):
-        if any(e["tag"] == tag for e in self.open):
+        if self.names[tag]:
             while self._close_one() != tag:
                 pass
 
     def handle_data(self, data):
-        if self.open and self.open[-1]["tag"] in _NO_TEXT:
-            return
-        for element in self.open:
-            if element["text"] is not None:
-                element["text"].append(data)
+        if not (self.open and self.open[-1][5] in _NO_TEXT):
+            self.texts.append(data)
+            self.length += len(data)
 
     def _close_one(self) -> str:
         element = self.open.pop()
-        element["last"] = self.count - 1
-        if element["tag"] in self.tags:
-            if element["text"] is not None:
-                element["text"] = "".join(element["text"])
+        element[1], element[4], tag = self.count - 1, self.length, element[5]
+        self.names[tag] -= 1
+        if tag in self.tags:
             self.found.append(element)
-        return element["tag"]
+        return tag
+
+
+def _element_array(pages: list[list[list] | None]) -> pa.Array:
+    """The lists of a batch as one Arrow array, column by column."""
+    kinds = [pa.int32()] * 5 + [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+    columns = zip(*(e for page in pages for e in page or ())) if any(pages) else ((),) * len(kinds)
+    fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ELEMENTS.elementType.names)
+    ends = [0]
+    for page in pages:
+        ends.append(ends[-1] + len(page or ()))
+    nulls = pa.array([page is None for page in pages] + [False])
+    offsets = pa.array(ends, pa.int32())
+    return pa.ListArray.from_arrays(pc.if_else(nulls, pa.scalar(None, pa.int32()), offsets), fields)
 
 
 def list_elements(
-    pages: DataFrame,
-    html: str = "html",
-    tags: Sequence[str] = RECORD_TAGS,
-    text_tags: Sequence[str] = TEXT_TAGS,
-    output: str = "elements",
+    pages: DataFrame, html: str = "html", tags: Sequence[str] = RECORD_TAGS, output: str = "elements", text: str = TEXT
 ) -> DataFrame:
-    """Replace the page source by the list of its elements."""
+    """Replace the page source by the list of its elements and its text."""
     kept = [f for f in pages.schema.fields if f.name != html]
     names = [f.name for f in kept]
-    schema = T.StructType([*kept, T.StructField(output, ELEMENTS)])
+    schema = T.StructType([*kept, T.StructField(output, ELEMENTS), T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _ElementLister(tags, text_tags)
-        item = pa.struct(
-            [("at", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
-             ("id", pa.string()), ("classes", pa.list_(pa.string())), ("label", pa.string()),
-             ("text", pa.string())]
-        )
+        parser = _ElementLister(tags)
+
+        def handed(batch, first, elements, texts):
+            columns = [batch.column(batch.schema.get_field_index(n)).slice(first, len(texts)) for n in names]
+            made = [_element_array(elements), pa.array(texts, pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, *made], [*names, output, text])
+
         for batch in batches:
-            sources = batch.column(batch.schema.get_field_index(html)).to_pylist()
-            lists = [parser.list_elements(s) if s is not None else None for s in sources]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lists, pa.list_(item))], [*names, output]
-            )
+            sources = batch.column(batch.schema.get_field_index(html))
+            first, elements, texts, size, many = 0, [], [], 0, 0
+            for i, source in enumerate(sources):
+                page = source.as_py()
+                found, listed = (None, None) if page is None else parser.read(page)
+                texts.append(found)
+                elements.append(listed)
+                size, many = size + len(found or ""), many + len(listed or ())
+                if size > _BATCH_TEXT or many > _BATCH_ELEMENTS:
+                    yield handed(batch, first, elements, texts)
+                    first, elements, texts, size, many = i + 1, [], [], 0, 0
+            if texts or not batch.num_rows:
+                yield handed(batch, first, elements, texts)
 
     return pages.select(*names, html).mapInArrow(run, schema)
 
@@ -172,8 +206,13 @@ def _inside(elements: Column, outer: Column) -> Column:
     return F.filter(elements, lambda e: (e["at"] > outer["at"]) & (e["at"] <= outer["last"]))
 
 
+def element_text(element: Column, text: str = TEXT) -> Column:
+    """The text an element holds, untrimmed."""
+    return F.substring(F.col(text), element["start"] + 1, element["stop"] - element["start"])
+
+
 def _text(element: Column) -> Column:
-    return strip(element["text"])
+    return strip(element_text(element))
 
 
 def _platforms(df: DataFrame) -> DataFrame:
@@ -262,8 +301,9 @@ def _weaknesses(df: DataFrame) -> DataFrame:
 
 
 def affected_versions(elements: Column) -> Column:
-    texts = F.transform(_having(elements, "li"), lambda e: e["text"])
-    return F.transform(F.filter(texts, lambda t: F.contains(t, F.lit("affected at"))), strip)
+    """The texts of the items that say so. Only these texts are built; items within items each have theirs."""
+    items = F.filter(_having(elements, "li"), lambda e: F.contains(element_text(e), F.lit("affected at")))
+    return F.transform(items, _text)
 
 
 def extract_records(
@@ -329,8 +369,8 @@ def record_text(record_columns: dict[str, str]) -> Column:
     return F.concat(*lines)
 
 
-def to_raw_columns(df: DataFrame) -> DataFrame:
-    return df.select(*schemas.RAW_RECORD.fieldNames())
+def to_raw_columns(df: DataFrame, *beside: str) -> DataFrame:
+    return df.select(*beside, *schemas.RAW_RECORD.fieldNames())
 
 
 # -- pulls without Python -------------------------------------------------------
@@ -342,7 +382,16 @@ def tag_texts(html: Column, tag: str) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), strip)
 
 
-def links(html: Column, prefix: str = RECORD_LINK) -> Column:
-    """Link targets that start with a prefix, in order."""
-    targets = F.regexp_extract_all(html, F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    return F.filter(targets, lambda x: x.startswith(prefix))
+# -- links ------------------------------------------------------------------------
+
+
+def links(pages: DataFrame, html: str = "html", prefix: str = RECORD_LINK, output: str = "link") -> DataFrame:
+    """One row per anchor whose target starts with a prefix, in document order within a page.
+
+    However the attribute is written: in single quotes, without quotes, in capitals. Character
+    references are resolved; anchors in comments, scripts and styles are none.
+    """
+    kept = [c for c in pages.columns if c not in (html, output)]
+    anchors = list_elements(pages.select(*kept, html), html, tags=("a",))
+    targets = F.transform("elements", lambda e: e.getField("href"))
+    return anchors.select(*kept, F.explode(F.filter(targets, lambda x: F.startswith(x, F.lit(prefix)))).alias(output))

@@ -15,6 +15,15 @@ def _struct(*names: str) -> T.StructType:
     return T.StructType(_strings(*names))
 
 
+# A record's place among all records, which the stages pass on through their files. In
+# XML it is an attribute of the record.
+SEQ = "_seq"
+
+
+def with_seq(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())])
+
+
 CVSS_ITEM = _struct("score", "severity", "version", "vector")
 CVSS_XML_ITEM = _struct("score", "severity", "version")
 CWE_ITEM = _struct("id", "name")

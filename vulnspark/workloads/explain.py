@@ -10,6 +10,9 @@ from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import explanation_input
 from vulnspark.sources.scan import spread
 from vulnspark.plans.consumers import explanations
+from vulnspark.schemas import FEATURE_XML, with_seq
+from vulnspark.session import scratch_path
+from vulnspark.sources import read_xml, write_xml
 from vulnspark.workloads import records
 from vulnspark.workloads.base import WORKLOADS, slots, table, workload
 from vulnspark.workloads.derived import raw_records
@@ -70,17 +73,19 @@ def batch_explain_stub(spark, sf_dir):
           (length(cve_id) + length(attack_type_clean) + length(description) + length({
         "'" + enrich.INSTRUCTIONS + "' || chr(10) || 'CVE ID: ' || chr(10) || 'Attack Type: ' || chr(10) || 'Description: ' || chr(10) || chr(10) || 'Explanation:'"
     })) || ' characters' AS ai_explanation
-        FROM ({records.FEATURES_SQL}) WHERE description <> '' ORDER BY cve_id LIMIT {EXPLAIN_LIMIT}""",
+        FROM ({records.FEATURES_SQL}) WHERE description <> ''""",
 )
 def explanation_rows(spark, sf_dir):
-    """The first 200 feature rows with a description, explained."""
-    features = build_features(nest_records(clean_records(raw_records(spark, sf_dir))), ["_seq"])
-    return explanations(to_feature_xml(features), length_model, ["cve_id"], EXPLAIN_LIMIT)
+    """Every row of a feature XML file with a description, explained."""
+    path = scratch_path(spark, "explained-features")
+    features = build_features(nest_records(clean_records(raw_records(spark, sf_dir))), ["_seq"], keep=["_seq"])
+    write_xml(to_feature_xml(features), path)
+    return explanations(read_xml(spark, path, with_seq(FEATURE_XML)), length_model, ["_seq"])
 
 
-@workload("all_explanation_rows", WORKLOADS["explanation_rows"].sql.removesuffix(f" LIMIT {EXPLAIN_LIMIT}"))
+@workload("all_explanation_rows", WORKLOADS["explanation_rows"].sql)
 def all_explanation_rows(spark, sf_dir):
-    """Every feature row with a description, explained."""
+    """Every row of the feature table with a description, explained without a file in between."""
     features = build_features(nest_records(clean_records(raw_records(spark, sf_dir))), ["_seq"])
     return explanations(to_feature_xml(features), length_model, ["cve_id"])
 

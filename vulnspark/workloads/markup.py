@@ -42,9 +42,29 @@ def page_fields(spark, sf_dir):
         WHERE starts_with(link, '/')""",
 )
 def page_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.explode(page_ops.links(F.col("html"), "/")).alias("link")
-    )
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), slots(spark))
+    return page_ops.links(pages, prefix="/")
+
+
+# Every way to write a link, and places where none is.
+_LINK_FORMS = (
+    "<A HREF='/one?p=", "&amp;q=1#&eacute;'>x</A><a class=b href=/two/", " rel=x>y</a><a title='>' href = \"/three\">z</a>"
+    "<!-- <a href='/hidden'>x</a> --><script>var a = '<a href=\"/script\">';</script><a name=n>no</a><a href>none</a><a href='other'>o</a>",
+)
+
+
+@workload(
+    "page_link_forms",
+    r"""SELECT page_id, unnest(list_concat(
+          list_filter(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1), lambda x: starts_with(x, '/')),
+          ['/one?p=' || page_id || '&q=1#é', '/two/' || page_id, '/three'])) AS link FROM pages""",
+)
+def page_link_forms(spark, sf_dir):
+    """The links of every page with more of them appended, written in every way."""
+    first, second, third = (F.lit(x) for x in _LINK_FORMS)
+    number = F.col("page_id").cast("string")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", first, number, second, number, third).alias("html"))
+    return page_ops.links(spread(pages, slots(spark)), prefix="/")
 
 
 @workload(
@@ -76,7 +96,7 @@ def page_elements(spark, sf_dir):
     """The parsed element list of the stored pages, counted by tag."""
     parsed = page_ops.list_elements(
         spread(table(spark, sf_dir, "pages").select("page_id", "html"), slots(spark)),
-        tags=("h1", "nav", "li"), text_tags=("h1", "li"),
+        tags=("h1", "nav", "li"),
     )
 
     def count(tag):
@@ -183,15 +203,26 @@ def records_per_term(spark, sf_dir):
     return value_counts(terms, "attackType")
 
 
+_LIST_SQL = "CASE WHEN {0} = '' THEN '[]' ELSE '[' || replace({0}, '|', ', ') || ']' END"
+
+
 @workload(
     "record_text",
     f"""SELECT seq, 'CVE ID       : ' || cve_id || chr(10) || 'Title        : ' || title || chr(10) ||
-          'Modified     : ' || coalesce(last_modified_date, 'None') || chr(10) AS shown FROM ({_RECORD_SQL})""",
+          'Description  : ' || description || chr(10) || 'Published    : ' || published_date || chr(10) ||
+          'Modified     : ' || coalesce(last_modified_date, 'None') || chr(10) ||
+          'CWE          : ' || {_LIST_SQL.format("cwe")} || chr(10) ||
+          'CVSS         : ' || CASE WHEN cvss = '' THEN '[]' ELSE '[' || rating || ', ' || rating || ']' END || chr(10) ||
+          'Vendor       : ' || coalesce(vendor, 'None') || chr(10) || 'Product      : ' || coalesce(product, 'None') || chr(10) ||
+          'Affected     : ' || {_LIST_SQL.format("affected_versions")} || chr(10) ||
+          'Attack Type  : ' || "attackType" || chr(10) AS shown
+        FROM (SELECT *, '{{' || (seq % 101 // 10) || '.' || (seq % 101 % 10) || ', ' ||
+                CASE WHEN seq % 4 = 0 THEN 'NULL' ELSE 'HIGH' END || ', 3.1, AV:N}}' AS rating FROM ({_RECORD_SQL}))""",
 )
 def record_text(spark, sf_dir):
+    """Every record as it is printed, under all eleven labels."""
     records = page_ops.extract_records(advisory_pages(spark, sf_dir), order=["seq"])
-    shown = page_ops.record_text({"CVE ID": "cve_id", "Title": "title", "Modified": "last_modified_date"})
-    return records.select("seq", shown.alias("shown"))
+    return records.select("seq", page_ops.record_text(page_ops.RECORD_LABELS).alias("shown"))
 
 
 @workload(

@@ -333,15 +333,16 @@ def nested_stage(spark, sf_dir):
     )
 
 
+def shown_features(rows):
+    return rows.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("published_dt", "last_modified_dt")})
+
+
 @workload("feature_table", f"""
     SELECT * REPLACE (strftime(published_dt, '%Y-%m-%d') AS published_dt,
                       strftime(last_modified_dt, '%Y-%m-%d') AS last_modified_dt) FROM ({FEATURES_SQL})""")
 def feature_table(spark, sf_dir):
     """Raw records to the 16-column feature table: clean, reshape, deduplicate, derive."""
-    rows = _features(spark, sf_dir)
-    return rows.withColumns(
-        {c: F.date_format(c, "yyyy-MM-dd") for c in ("published_dt", "last_modified_dt")}
-    )
+    return shown_features(_features(spark, sf_dir))
 
 
 @workload(

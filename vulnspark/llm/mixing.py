@@ -226,10 +226,12 @@ class Mix:
     def taken(self) -> DataFrame:
         """The documents with ``taken``: how many words the mix takes of each, repeats counted."""
         counted = self.pieces.groupBy("number", "start").agg(F.sum("length").alias("taken"))
+        columns = self.documents.columns
         # Documents without a word share their start with the next one.
-        rows = self.documents.withColumn("filled", F.col("size") > 0)
+        filled = (F.col("size") > 0).alias("filled")
+        rows = self.documents.select(F.struct(*map(col, columns)).alias("doc"), "number", "start", filled)
         found = rows.join(counted.withColumn("filled", F.lit(True)), ["number", "start", "filled"], "left")
-        return found.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).select(*self.documents.columns, "taken")
+        return found.select(*(F.col("doc").getField(c).alias(c) for c in columns), F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mix(

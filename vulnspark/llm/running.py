@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import partitions, stored
+from vulnspark.llm.common import discard, partitions, stored
 
 BLOCK = 1024
 
@@ -33,9 +33,11 @@ def running(
     spark = df.sparkSession
     within = [*groups, "_part"]
     sort = [*(F.col(c) if isinstance(c, str) else c for c in order), F.col("_tie")]
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    # Written first: dealing by ranges reads its input twice, to sample it and to deal it.
+    tied = stored(df.withColumn("_tie", F.monotonically_increasing_id()), name)
     dealt = tied.repartitionByRange(partitions(spark), *groups, *sort).withColumn("_part", F.spark_partition_id())
     dealt = stored(dealt, name)
+    discard(tied)
 
     before = Window.partitionBy(*within).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
     here = dealt.withColumns({n: F.coalesce(F.sum(v).over(before), F.lit(0)).cast("long") for n, v in values.items()})

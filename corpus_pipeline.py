@@ -7,14 +7,14 @@ and keep columns of any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vulnspark.llm.common import col, stored
 from vulnspark.llm.decontamination import decontaminate
 from vulnspark.llm.queries import packed, toxicity_model
 from vulnspark.llm.registry import query, table
-from vulnspark.llm.shingles import near_copies
+from vulnspark.llm.simhash import near_duplicates
 from vulnspark.llm.suffix_dedup import remove_repeats
 from vulnspark.llm.toxicity import score
 
@@ -33,26 +33,37 @@ def _rewritten(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier scores 0.5 or more."""
+    """Drop what the classifier scores 0.5 or more.
+
+    Null and empty texts, and texts without words, score as the classes' shares do, so they
+    stay unless most labelled documents are toxic. Repeated rows are scored alike; no documents give none.
+    """
     scored = score(_whole(docs), toxicity_model(spark, sf_dir, docs), ["doc"])
     return scored.filter("score < 0.5").select("doc.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, keep the one with the smallest id.
+    """Of documents whose fingerprints of three-word shingles link at two differing bits or fewer, keep the one with the smallest id.
 
-    A null id comes last; equal ids are told apart by their rows. At 0.8 fingerprints of
-    64 bits differ in some ten bits, too many to search within: candidates come from MinHash.
+    A null id comes last; documents of one id are told apart by their contents, and of
+    documents alike in every column one stays. Texts without words share a fingerprint, so one
+    of them stays. No documents give none.
     """
-    rows = _whole(docs).withColumn("row", F.monotonically_increasing_id())
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    found = near_copies(rows.select(place.alias("place"), "text"), "place", "text", width=5)
-    first = found.filter("place = component").select(F.col("place.row").alias("row"))
-    return rows.join(first, "row", "left_semi").select("doc.*")
+    rows = _whole(docs).withColumns({"a": F.xxhash64("doc"), "b": F.xxhash64(F.lit("second"), "doc")})
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    found = near_duplicates(rows.select(place.alias("place"), "text"), "place", "text", width=3, within=2)
+    first = found.select("component.a", "component.b").distinct()
+    # Rows alike in every column shrink to one per task before they are shuffled.
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("a"))).filter("n = 1")
+    return one.join(first, ["a", "b"], "left_semi").select("doc.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out every 400-byte string that occurs elsewhere too; half a character at a cut goes with it."""
+    """Cut out every 400-byte string that occurs elsewhere too; half a character at a cut goes with it.
+
+    A null text stays null, one cut away as a whole becomes empty; no document goes. Repeated rows
+    are occurrences of each other. Texts of any length are read as a whole.
+    """
     found = remove_repeats(_whole(docs), ["doc", "text"])
     text = F.when(F.col("text").isNull(), F.col("text")).when(F.col("n_removed") == 0, F.col("text")).otherwise(_valid(F.col("kept")))
     return _rewritten(found.select("doc", text.alias("new_text")), docs, "new_text")
@@ -64,13 +75,17 @@ def _valid(data):
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out every run of words that ten-word windows of the benchmark cover."""
+    """Cut out every run of words that ten-word windows of the benchmark cover.
+
+    A null text stays null; no document goes. Repeated rows are each cut; without a benchmark
+    nothing is.
+    """
     found = decontaminate(_whole(docs), table(spark, sf_dir, "benchmark"), ["doc"])
     return _rewritten(found, docs, "clean_text")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens."""
+    """Sequences of 4096 tokens; a null or empty text is a document of its end alone, and repeated rows are packed each."""
     return packed(docs)
 
 

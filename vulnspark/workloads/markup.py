@@ -217,7 +217,7 @@ _LIST_SQL = "CASE WHEN {0} = '' THEN '[]' ELSE '[' || replace({0}, '|', ', ') ||
           'Affected     : ' || {_LIST_SQL.format("affected_versions")} || chr(10) ||
           'Attack Type  : ' || "attackType" || chr(10) AS shown
         FROM (SELECT *, '{{' || (seq % 101 // 10) || '.' || (seq % 101 % 10) || ', ' ||
-                CASE WHEN seq % 4 = 0 THEN 'NULL' ELSE 'HIGH' END || ', 3.1, AV:N}}' AS rating FROM ({_RECORD_SQL}))""",
+                CASE WHEN seq % 4 = 0 THEN 'null' ELSE 'HIGH' END || ', 3.1, AV:N}}' AS rating FROM ({_RECORD_SQL}))""",
 )
 def record_text(spark, sf_dir):
     """Every record as it is printed, under all eleven labels."""

@@ -11,20 +11,27 @@ from vulnspark.llm.queries import tokenizer_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_words_give_the_tokenizer_s_ids(tokenizer):
     rng = random.Random(3)
-    signs = list("aAbBzZ'sS019 .,;-éÉ́İıſßΣσ中—­  \x0b\x0c\x1c\x85\t\n<|>#$ªº²½ŉµKẞ") + ["'re", "'LL", "<|endoftext|>", "İ", "\U0001f600"]
+    signs = list("aAbBzZ'sS019 .,;-éÉ́İıſßΣσ中—­  \x0b\x0c\x1c\x85\t\n<|>#$ªº²½ŉµKẞ") + ["'re", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end", "İ", "\U0001f600"]
     words = Words(tokenizer_path())
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 14)))
         assert words.of([text.encode()])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_many_words_at_once(tokenizer):
+    rng = random.Random(4)
+    signs = list("abcXYZ012.,'-é中<|> ") + ["<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    found = Words(tokenizer_path()).of([t.encode() for t in texts])
+    assert found == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert found[0:0] == [] and Words(tokenizer_path()).of([b"a <|endoftext|> b"])[0] == np.array([320, 49407, 321], "<u4").tobytes()
+
+
 def well_packed(rows, capacity):
     bins = {}
     for r in rows:

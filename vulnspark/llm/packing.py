@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from vulnspark.llm.common import as_bytes, col, map_rows, stored
 
 PIECES = "pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>"
-CACHE_WORDS, KEPT_WORDS = 450_000, 150_000
+CACHE_WORDS, KEPT_WORDS = 700_000, 250_000
 # The splitting pattern of the tokenizer file: a fixed value.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Words with other signs than these, or with the beginning of a special token, are encoded whole. Letters
+# of these blocks have one lower case, and none is a combining mark.
+ODD = r"[^ ]*(?:[^ \x21-\x7E\u00A1-\u00AC\u00AE-\u012F\u0132-\u017F]|<\|)[^ ]*"
+# Stands between words; no token has this id.
+GAP = b"\xff\xff\xff\xff"
 SALTS = 64
 
 
@@ -32,7 +37,8 @@ class Words:
     The tokenizer never joins what ASCII white space separates, so a text's ids are
     those of its words in turn; each word is looked up once. Nor does it
     join the parts of a word (letters, a digit, other signs), so words of common
-    scripts are put together from their parts; all others are encoded whole.
+    scripts are put together from their parts; all others, and those that may hold one of
+    the tokenizer's special tokens, are encoded whole. New words are cut all at once, as one text.
     """
 
     path: str
@@ -45,32 +51,32 @@ class Words:
             import regex
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(self.path)
-            tokenizer.encode_special_tokens = True
-            # Letters of these blocks have one lower case, and none is a combining mark.
-            self.tools = tokenizer, regex.compile(PARTS), regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u012F\u0132-\u017F]+")
+            self.tools = Tokenizer.from_file(self.path), regex.compile(PARTS + "| "), regex.compile(ODD)
         for known in (self.ids, self.parts):
             if len(known) > CACHE_WORDS:  # frequent words came first
                 first = list(islice(known.items(), KEPT_WORDS))
                 known.clear()
                 known.update(first)
         split = [t.split() for t in texts]
-        self._learn(list({w for ws in split for w in ws if w not in self.ids}))
+        new = list(set().union(*split).difference(self.ids))
+        for a in range(0, len(new), 100_000):
+            self._learn(new[a : a + 100_000])
         get = self.ids.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
     def _learn(self, words: list[bytes]) -> None:
-        tokenizer, parts, plain = self.tools
-        cut, whole = [], []
-        for w in words:
-            text = w.decode()
-            (cut if plain.fullmatch(text) else whole).append((w, text))
+        tokenizer, parts, odd = self.tools
+        text = b" ".join(words).decode()
+        whole = list(set(odd.findall(text)))
         for a in range(0, len(whole), 20_000):
             some = whole[a : a + 20_000]
-            found = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(some, found))
-        cut = [(w, parts.findall(t.lower())) for w, t in cut]
-        new = list({p for _, ps in cut for p in ps if p not in self.parts})
+            found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.ids.update((w.encode(), np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
+        if whole:
+            words = [w for w in words if w not in self.ids]
+            text = b" ".join(words).decode()
+        cut = parts.findall(text.lower())
+        new = list(set(cut).difference(self.parts, " "))
         # One text of many parts takes a fraction of the time of as many texts.
         some_of = [new[a : a + 200] for a in range(0, len(new), 200)]
         for some, e in zip(some_of, tokenizer.encode_batch(some_of, is_pretokenized=True, add_special_tokens=False)):
@@ -78,8 +84,12 @@ class Words:
             ends = np.searchsorted(of, np.arange(len(some)), "right").tolist()
             flat = ids.tobytes()
             self.parts.update((p, flat[4 * x : 4 * y]) for p, x, y in zip(some, [0, *ends], ends))
-        get = self.parts.__getitem__
-        self.ids.update((w, b"".join(map(get, ps))) for w, ps in cut)
+        self.parts[" "] = GAP
+        flat = b"".join(map(self.parts.__getitem__, cut))
+        ends = np.flatnonzero(np.frombuffer(flat, "<u4") == np.uint32(0xFFFFFFFF)) * 4
+        begins, ends = [0, *(ends + 4).tolist()], [*ends.tolist(), len(flat)]
+        if words:
+            self.ids.update(zip(words, [flat[a:b] for a, b in zip(begins, ends)], strict=True))
 
 
 def _kept_words(path: str) -> Words:
@@ -110,12 +120,20 @@ def token_pieces(
 ) -> DataFrame:
     """One row per piece of a document: the ``keep`` columns, piece, start, length, ids_crc32 and, if asked for, ids.
 
-    A document's ids end with ``end_id``; only one of more than ``most`` ids is cut.
-    ``tokenizer`` is the path of a tokenizers file, which must split at white space.
+    A document's ids end with ``end_id``; only one of more than ``most`` ids is cut. Special
+    tokens in a text are tokens. ``tokenizer`` is the path of a tokenizers file, which must
+    split at white space.
+
+    A null or empty text is a document of its end alone; repeated rows are packed each; an
+    empty table gives no piece. Kept columns named ``pieces``, ``piece``, ``start``, ``length``,
+    ``ids_crc32`` or ``ids`` give way to the new ones.
     """
     end = np.array([end_id], "<u4").tobytes()
     cut = map_rows(docs, [text_col], keep, PIECES, lambda texts: _cut(tokenizer, end, most, ids, texts))
-    flat = cut.withColumn("p", F.explode("pieces")).select(*(col(c) for c in keep if c.lower() != "pieces"), "p.*")
+    new = ("pieces", "piece", "start", "length", "ids_crc32", "ids")
+    kept = [c for c in keep if c.lower() not in new]
+    # inline() names the new columns itself, so no kept column can clash with a helper.
+    flat = cut.select(*(col(c) for c in kept), F.inline("pieces"))
     return flat if ids else flat.drop("ids")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.llm.common import (
-    as_bytes, bound_batches, byte_sums, col, map_rows, mixed, partitions, slices, stored, stretch_hash,
+    as_bytes, bound_batches, byte_sums, col, discard, map_rows, mixed, partitions, slices, stored, stretch_hash,
 )
 
 GRAM = 64
@@ -149,24 +149,34 @@ def repeats(lefts: list[bytes], rights: list[bytes], width: int) -> list[list[tu
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The groups of one partition: contexts by key, in memory one partition at a time."""
-    groups: dict[int, dict[int, tuple[bytes, bytes]]] = {}
-    for b in batches:
-        for key, context, left, right in zip(*(b.column(c).to_pylist() for c in ("key", "context", "left", "right"))):
-            groups.setdefault(key, {})[context] = (left, right)
+    """The groups of one partition, which come one after the other: no more than one is held."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    now, members = None, {}
     keys, contexts, spans = [], [], []
-    for key, members in groups.items():
+
+    def settle() -> None:
         if len(members) > 1:
             found = repeats([x for x, _ in members.values()], [x for _, x in members.values()], width)
             for context, ranges in zip(members, found):
                 if ranges:
-                    keys.append(key)
+                    keys.append(now)
                     contexts.append(context)
                     spans.append([{"start": -y, "end": width - x} for x, y in ranges])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(contexts, pa.int64()), pa.array(spans, kind)], names=["key", "context", "spans"]
-    )
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array(keys, pa.int64()), pa.array(contexts, pa.int64()), pa.array(spans, kind)]
+        keys.clear(), contexts.clear(), spans.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["key", "context", "spans"])
+
+    for b in batches:
+        for key, context, left, right in zip(*(b.column(c).to_pylist() for c in ("key", "context", "left", "right"))):
+            if key != now:
+                settle()
+                now, members = key, {}
+            members[context] = (left, right)
+        yield made()
+    settle()
+    yield made()
 
 
 # -- the operator -----------------------------------------------------------------
@@ -241,7 +251,6 @@ def remove_repeats(
             )
         return [out]
 
-    # The text's exchange by (d, t) serves this join and the last one.
     contexts = (
         map_rows(
             rows.join(wanted, ["d", "t"]), ["text", "wanted"], [],
@@ -249,20 +258,27 @@ def remove_repeats(
         )
         .select(F.explode("found").alias("f")).select("f.*")
     )
-    contexts = stored(contexts, "suffix_surroundings")
+    hot = not keys.filter(F.col("m") > GROUP_LIMIT).isEmpty()
+    if hot:
+        contexts = stored(contexts, "suffix_surroundings")
     resolved = (
-        contexts.filter("NOT hot").repartition(partitions(docs.sparkSession), "key")
+        contexts.filter("NOT hot").drop("hot").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
         .mapInArrow(lambda b: _resolve(b, width), "key bigint, context bigint, spans array<struct<start:int,end:int>>")
     )
     marks = whole.unionByName(resolved)
-    if not keys.filter(F.col("m") > GROUP_LIMIT).isEmpty():
+    if hot:
         marks = marks.unionByName(_by_hash(contexts.filter("hot"), width))
+    # Each table goes once what reads it is written.
+    marks = stored(marks, "suffix_marks")
+    discard(alike, contexts)
     at = F.transform(
         "spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end"))
     )
     by_text = samples.join(marks, ["key", "context"]).select("d", "t", F.explode(at).alias("s")).groupBy("d", "t").agg(
         F.collect_set("s").alias("marks")
     )
+    by_text = stored(by_text, "suffix_spans")
+    discard(samples, marks)
     out = map_rows(
         rows.join(by_text, ["d", "t"], "left"), ["text", "marks"], [f"c{i}" for i in range(len(columns))], MARKS, _cut_out
     )

@@ -32,7 +32,7 @@ def test_stages(spark, odd_docs, sf_dir, tmp_path):
         counts.append(docs.count())
     assert counts[0] >= counts[1] == counts[2] == counts[3]
     left = docs.collect()
-    # One of each group of copies stays, with no id too.
+    # One of each group of copies stays, with no id too, and all the rest.
     assert len([r for r in left if r["doc_id"] in (6, 7)]) == 1
     texts = [r["text"] for r in left if r["text"]]
     assert len(texts) == len(set(texts))
@@ -43,6 +43,30 @@ def test_stages(spark, odd_docs, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
 
 
+def test_near_dedup_against_brute_force(spark, odd_docs, sf_dir):
+    """One document per component of fingerprints that link, the first by id, null ids last."""
+    from vulnspark.llm.simhash import fingerprints
+
+    rows = [(r["doc_id"], r["text"], r["fp"] % (1 << 64)) for r in fingerprints(odd_docs, ["doc_id", "text"], "text", 3).collect()]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][2] ^ rows[j][2]).bit_count() <= 2:
+                root[find(i)] = find(j)
+    parts = {}
+    for i, (d, t, _) in enumerate(rows):
+        parts.setdefault(find(i), []).append((d is None, d or 0))
+    wanted = sorted(min(p) for p in parts.values())
+    kept = corpus_pipeline.simhash_near_dedup(spark, odd_docs, sf_dir).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == wanted
+
+
 def test_no_documents(spark, no_docs, sf_dir, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf_dir).collect() == []
@@ -50,7 +74,7 @@ def test_no_documents(spark, no_docs, sf_dir, tmp_path):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert os.path.exists(tokenizer_path())
 
 
@@ -60,3 +84,32 @@ def test_the_rest_works_without_the_package(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) > 70
+
+
+def test_workers_need_no_package(spark, odd_docs, tmp_path):
+    """A driver that finds the package by itself; its workers do not."""
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "the " * 12)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from vulnspark.session import local_session
+import vulnspark.llm.queries
+from vulnspark.llm.registry import QUERIES
+spark = local_session(2)
+def bare(batches):
+    import importlib.util
+    for b in batches:
+        assert importlib.util.find_spec("vulnspark") is None
+        yield b
+spark.range(1).mapInArrow(bare, "id long").collect()
+for name in ("op1_pitman_yor", "op4_decontamination", "op10_toxicity"):
+    print(QUERIES[name].run(spark, {str(tmp_path)!r}).count())
+"""
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "elsewhere" / "driver.py").write_text(code)
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "driver.py"], cwd=tmp_path / "elsewhere", env=clean, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr[-3000:]
+    assert out.stdout.split()[-3:] == [str(odd_docs.count())] * 3

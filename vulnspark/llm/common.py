@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,30 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Shipped:
+    """A value that every task may read, with the code of its class: a broadcast of bytes.
+
+    A plain broadcast names the class and leaves it to the worker to import it, which
+    only works where the package is installed. Of one kind of value a worker keeps the last.
+    """
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.kind, self.key = type(value).__name__, uuid.uuid4().hex
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        loaded = vars(sys).setdefault("_shipped_values", {})
+        key, held = loaded.get(self.kind, (None, None))
+        if key != self.key:
+            held = cloudpickle.loads(self.data.value)
+            loaded[self.kind] = self.key, held
+        return held
+
+    def unpersist(self) -> None:
+        self.data.unpersist()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import _ODD, as_bytes, map_rows, powers, stored
+from vulnspark.llm.common import Shipped, _ODD, as_bytes, map_rows, powers, stored
 
 # Every byte that is neither a digit, a letter of ASCII nor part of another character separates words.
 _SEPARATE = bytes(
@@ -164,7 +164,7 @@ def decontaminate(
     windows = stored(benchmark_windows(benchmark, n, item_id, item_text), "benchmark_windows")
     blocks = -(-windows.count() // broadcast_windows)
     if blocks <= 1:
-        held = spark.sparkContext.broadcast(GramSet.build(windows.collect()))
+        held = Shipped(spark, GramSet.build(windows.collect()))
         return map_rows(docs, [text_col], keep, FIELDS, lambda texts: _scan(held, texts))
     return _in_blocks(docs, windows, keep, text_col, blocks)
 
@@ -175,7 +175,7 @@ def _in_blocks(docs: DataFrame, windows: DataFrame, keep: list[str], text_col: s
     out = None
     for b in range(blocks):
         part = windows.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast(GramSet.build(part.collect()))
+        held = Shipped(spark, GramSet.build(part.collect()))
         if out is None:
             columns = list(dict.fromkeys([*keep, text_col]))
             source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import _BYTE, as_bytes, col, map_rows, mixed
+from vulnspark.llm.common import Shipped, _BYTE, as_bytes, col, map_rows, mixed
 
 LETTERS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     A null or empty text, or one without words, gets the score of the classes' shares.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = Shipped(docs.sparkSession, model)
     cache: dict[bytes, float] = {}
 
     def run(texts: pa.Array) -> list:

@@ -1,5 +1,6 @@
 """Statistics against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -114,3 +115,53 @@ def test_describe_with_a_heavy_tail(spark):
 def test_separator_is_plain_text(spark):
     df = spark.createDataFrame([("ab|cd|ab",)], "x string")
     assert {tuple(r) for r in stats.exploded_counts(df, "x", "|").collect()} == {("ab", 2), ("cd", 1)}
+
+
+def test_describe_beyond_the_sketch(spark):
+    """More rows than the sketch tells apart: brackets decide, the exact pass finds the ranks."""
+    import random
+
+    rng = random.Random(2)
+    values = [rng.gauss(0, 1) for _ in range(4000)] + [0.25] * 1500 + [None] * 7
+    present = sorted(v for v in values if v is not None)
+    for accuracy in (50, 400):
+        row = stats.describe(column(spark, values), "x", accuracy=accuracy).first()
+        assert (row["count"], row["min"], row["max"]) == (len(present), present[0], present[-1])
+        for q, found in ((0.25, row.p25), (0.5, row.p50), (0.75, row.p75)):
+            at = q * (len(present) - 1)
+            low, high = present[int(at)], present[min(int(at) + 1, len(present) - 1)]
+            assert found == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+
+
+def test_describe_reads_twice(spark):
+    plan = stats.describe(column(spark, [1.0, 2.0]), "x")._jdf.queryExecution().sparkPlan().toString()
+    assert "Subquery" not in plan
+
+
+def test_fitted_histogram(spark):
+    def bins(values, most=20):
+        return [tuple(r) for r in stats.fitted_histogram(column(spark, values), "x", most).collect()]
+
+    tenths = [i / 10 for i in range(0, 101)]
+    found = bins(tenths + [None, float("nan"), float("inf")])
+    assert len(found) == 20 and {w for _, w, _ in found} == {0.5} and sum(n for *_, n in found) == 101
+    assert found[0] == (0.0, 0.5, 5) and found[-1] == (9.5, 0.5, 6)
+    assert bins([3.0, 3.0, None]) == [(3.0, 1.0, 2)]
+    assert bins([]) == []
+    for values in ([-7.3, 12.9, 0.0], [1e9, 5e12], [0.001, 0.0012, 0.0019]):
+        found = bins(values)
+        assert sum(n for *_, n in found) == len(values) and len({b for b, _, _ in found}) <= 20
+        width = found[0][1]
+        assert math.ceil(max(values) / width) - math.floor(min(values) / width) <= 20
+
+
+def test_the_first_date_decides_the_format(spark):
+    def days(values):
+        df = spark.createDataFrame(list(enumerate(values)), "at int, x string").repartition(3)
+        return [None if r.day is None else str(r.day) for r in stats.with_inferred_days(df, "x", ["at"]).orderBy("at").collect()]
+
+    assert days(["soon", "13/02/2024", "03/04/2024", "2024-01-05", None]) == [None, "2024-02-13", "2024-04-03", None, None]
+    assert days(["03/04/2024", "13/02/2024"]) == ["2024-03-04", None]
+    assert days([" 2024-1-5 ", "2024-01-05T10:00:00", "5 Jan 2024"]) == ["2024-01-05", None, None]
+    assert days(["Jan 5, 2024", "x"]) == ["2024-01-05", None]
+    assert days([None, "x"]) == [None, None] and days([]) == []

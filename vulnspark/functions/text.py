@@ -148,6 +148,28 @@ def any_date(c: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
     return F.coalesce(iso_date(c), *(F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats))
 
 
+# Formats of dates that a column may have as a whole. Where day and month could both be meant, the month comes first.
+COLUMN_FORMATS = (
+    "yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d MMM yyyy", "MMM d, yyyy",
+)
+
+
+def format_of(c: Column, formats: Sequence[str] = COLUMN_FORMATS) -> Column:
+    """The number of the first format that a text fits, null if it fits none."""
+    which = F.lit(None).cast("int")
+    for i, f in reversed(list(enumerate(formats))):
+        which = F.when(F.try_to_timestamp(strip(c), F.lit(f)).isNotNull(), i).otherwise(which)
+    return which
+
+
+def date_in(c: Column, which: Column, formats: Sequence[str] = COLUMN_FORMATS) -> Column:
+    """The day of a text in the format of that number; null if it does not fit it."""
+    day = F.lit(None).cast("date")
+    for i, f in enumerate(formats):
+        day = F.when(which == i, F.to_date(F.try_to_timestamp(strip(c), F.lit(f)))).otherwise(day)
+    return day
+
+
 def present_or(c: Column, default: str) -> Column:
     """Trimmed text; absent, blank, ``unknown`` and ``Unknown`` give the default."""
     text = strip(c)

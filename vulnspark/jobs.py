@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vulnspark import schemas
 from vulnspark.schemas import SEQ, with_seq
 from vulnspark.operators.cleaning import clean_records
-from vulnspark.operators.features import build_features, quality_report, to_feature_xml
+from vulnspark.operators.features import StepCounts, build_features, to_feature_xml
 from vulnspark.operators.pages import to_raw_columns
 from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import dashboard_view, eda_view
@@ -58,14 +58,14 @@ def nest(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def features(spark: SparkSession, a: argparse.Namespace) -> None:
-    nested = _nested(spark, a, schemas.RAW_XML)
-    table = build_features(nested, [SEQ], keep=[SEQ])
+    counts = StepCounts()
+    table = build_features(_nested(spark, a, schemas.RAW_XML), [SEQ], keep=[SEQ], counts=counts)
     if a.parquet:
         table.write.parquet(a.parquet)
         table = spark.read.parquet(a.parquet)
     write_xml(to_feature_xml(table), a.output)
     if a.report:
-        quality_report(nested, [SEQ]).write.json(a.report)
+        counts.report(spark).write.json(a.report)
 
 
 def _kept(view: DataFrame, path: str) -> DataFrame:
@@ -80,8 +80,8 @@ def _write_tables(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def eda(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = _kept(eda_view(read_xml(spark, a.input, schemas.RAW_XML, encoding=a.encoding)), f"{a.output}/view")
-    _write_tables(consumers.eda_report(rows), a.output)
+    rows = _kept(eda_view(_nested(spark, a, schemas.RAW_XML)), f"{a.output}/view")
+    _write_tables(consumers.eda_report(rows, [SEQ]), a.output)
 
 
 def dashboard(spark: SparkSession, a: argparse.Namespace) -> None:

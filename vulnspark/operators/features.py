@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vulnspark import schemas
@@ -97,7 +97,33 @@ def add_features(flat: DataFrame) -> DataFrame:
     )
 
 
-def build_features(nested_rows: DataFrame, order: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+class StepCounts:
+    """What the steps of ``build_features`` drop, counted by the plan that writes the table.
+
+    The counters travel with the tasks of that one run; nothing is computed twice. They
+    are there once an action has run the plan, and count that run only. A task that runs
+    again because its output was lost counts its rows again.
+    """
+
+    def __init__(self) -> None:
+        self.read, self.latest, self.kept = (Observation(f"features-{n}") for n in ("read", "latest", "kept"))
+
+    def rows(self) -> dict[str, int]:
+        read, latest, kept = self.read.get, self.latest.get["n"], self.kept.get["n"]
+        return {
+            "loaded": read["loaded"], "unknown_dropped": read["unknown"], "vendor_dropped": read["no_vendor"],
+            "duplicates_dropped": read["loaded"] - read["unknown"] - read["no_vendor"] - latest,
+            "severity_dropped": latest - kept, "remaining": kept,
+        }
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        counts = self.rows()
+        return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
+
+
+def build_features(
+    nested_rows: DataFrame, order: Sequence[str], keep: Sequence[str] = (), counts: StepCounts | None = None
+) -> DataFrame:
     """Filter, normalise, deduplicate and derive: one exchange, by ``cve_id``.
 
     ``keep`` names columns that start with an underscore and stay beside the 16 of the table.
@@ -106,9 +132,20 @@ def build_features(nested_rows: DataFrame, order: Sequence[str], keep: Sequence[
     it; the text work runs on the surviving rows.
     """
     named = flatten(nested_rows).withColumn("vendor_clean", normalized_vendor())
+    if counts:
+        unknown, no_vendor = has_unknown(UNKNOWN_CHECKED), text.is_unknown(F.col("vendor_clean"))
+        named = named.observe(
+            counts.read, F.count(F.lit(1)).alias("loaded"), F.count_if(unknown).alias("unknown"),
+            F.count_if(~unknown & no_vendor).alias("no_vendor"),
+        )
     known = where_computed(named, ~has_unknown([*UNKNOWN_CHECKED, "vendor_clean"]))
-    latest = keep_last(known, ["cve_id"], order).withColumn("severity_level", picked_severity())
+    latest = keep_last(known, ["cve_id"], order)
+    if counts:
+        latest = latest.observe(counts.latest, F.count(F.lit(1)).alias("n"))
+    latest = latest.withColumn("severity_level", picked_severity())
     rated = where_computed(latest, ~is_blank_severity(F.col("severity_level")))
+    if counts:
+        rated = rated.observe(counts.kept, F.count(F.lit(1)).alias("n"))
     return add_features(rated).select(*keep, *schemas.FEATURES.fieldNames())
 
 

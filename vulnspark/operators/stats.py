@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnspark.functions.text import fixed, one_of_levels, strip
+from vulnspark.functions.text import COLUMN_FORMATS, date_in, fixed, format_of, one_of_levels, strip
 
 
 def value_counts(df: DataFrame, key: str, count: str = "n", dropna: bool = True) -> DataFrame:
@@ -156,6 +156,22 @@ def timeline(df: DataFrame, day: Column, name: str = "day", count: str = "n") ->
     return days.groupBy(name).agg(F.count("*").alias(count)).orderBy(name)
 
 
+def with_inferred_days(
+    df: DataFrame, value: str, order: Sequence[str], name: str = "day", formats: Sequence[str] = COLUMN_FORMATS
+) -> DataFrame:
+    """Add the day of a text column whose format its own values decide.
+
+    The first value in ``order`` that fits a format settles it for the whole column;
+    texts in another format have no day, even where they could be read. The format is one
+    number, found by one aggregate and met by broadcast.
+    """
+    text = F.col(value)
+    place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    chosen = df.select(format_of(text, formats).alias("which"), place.alias("place")).where("which IS NOT NULL")
+    chosen = chosen.agg(F.min_by("which", "place").alias("_which"))
+    return df.join(F.broadcast(chosen)).withColumn(name, date_in(text, F.col("_which"), formats)).drop("_which")
+
+
 def any_null(df: DataFrame, value: Column, name: str = "any_null") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(value.isNull()), F.lit(False)).alias(name))
 
@@ -181,6 +197,28 @@ def histogram(
     return counts.select(start.alias("bin_start"), "n").orderBy("bin_start")
 
 
+def fitted_histogram(df: DataFrame, value: str, most: int = 20) -> DataFrame:
+    """Rows per equal bin, at most ``most`` bins of a round width that the range of the values decides.
+
+    The width is the smallest of 1, 2 or 5 times a power of ten for which the bins, which begin at
+    multiples of it, are no more than ``most``; the largest value belongs to the last bin even on
+    its edge. Every finite value is counted; bins without rows are left out. One plan: the
+    range is one row, which meets the rows by broadcast.
+    """
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & (F.abs(x) < float("inf"))).select(x.alias("x"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    power = F.pow(F.lit(10.0), F.floor(F.log10((F.col("hi") - F.col("lo")) / most)))
+    widths = F.transform(F.array(*(F.lit(w) for w in (1.0, 2.0, 5.0, 10.0, 20.0))), lambda w: w * power)
+    fits = F.filter(widths, lambda w: F.ceil(F.col("hi") / w) - F.floor(F.col("lo") / w) <= most)
+    width = F.when(F.col("hi") > F.col("lo"), F.get(fits, F.lit(0))).otherwise(1.0)
+    ends = ends.withColumn("width", width)
+    first, last = F.floor(F.col("lo") / F.col("width")), F.ceil(F.col("hi") / F.col("width")) - 1
+    index = F.greatest(F.least(F.floor(F.col("x") / F.col("width")), last), first)
+    bins = rows.join(F.broadcast(ends)).groupBy((index.cast("double") * F.col("width")).alias("bin_start"), F.col("width").alias("bin_width"))
+    return bins.agg(F.count("*").alias("n")).orderBy("bin_start")
+
+
 def at_least(df: DataFrame, value: str, limits: Sequence[float]) -> DataFrame:
     """Rows at or above each limit."""
     return df.agg(
@@ -195,76 +233,61 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 def describe(
-    df: DataFrame, value: str, quantiles: Sequence[float] = QUARTILES, cells: int = 64,
-    rounds: int = 2,
+    df: DataFrame, value: str, quantiles: Sequence[float] = QUARTILES, accuracy: int = 20_000
 ) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quantiles, maximum.
+    """Count, mean, sample deviation, minimum, exact quantiles, maximum; NaN counts as the largest value.
 
-    Quantiles interpolate linearly between the two neighbours in rank. The rows
-    shrink to (value, count) pairs first. Then each round cuts the ranges that
-    hold the wanted ranks into ``cells`` cells of about as many different values,
-    however these are spread, and keeps the cells that are hit: after two rounds the
-    last step, which sorts, sees some thousandths of the different values.
+    Quantiles interpolate linearly between the two neighbours in rank. Two scans: the first
+    also keeps a mergeable sketch of ``accuracy`` that brackets each wanted rank between two
+    values; the second counts what lies below each bracket, and every value in one. Only
+    these, some parts in ``accuracy`` of the rows, are sorted to find the ranks. Up to
+    ``accuracy`` rows the bracket is the whole range.
     """
     x = F.col(value).cast("double")
-    pairs = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("n"))
-    total = pairs.agg(
-        F.struct(
-            F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-            (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        )
-    ).scalar()
-    deviation = pairs.select("n", (F.col("v") - total["mean"]).alias("d"))
-    moments = deviation.agg(F.sum(F.col("n") * F.col("d") * F.col("d"))).scalar()
-
-    positions = [F.lit(float(q)) * (total["n"] - 1) for q in quantiles]
-    ranks = F.array(*[f(p).cast("long") for p in positions for f in (F.floor, F.ceil)])
-
-    def holds_rank(first: Column, size: Column) -> Column:
-        return F.exists(F.col("_ranks"), lambda r: (r >= first) & (r < first + size))
-
-    fractions = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    candidates = pairs.select("v", "n", F.lit(0).cast("long").alias("_first"))
-    for _ in range(rounds):
-        # One row per range, two ranges per quantile at most, whatever the size of the input.
-        cuts = candidates.groupBy("_first").agg(F.percentile_approx("v", fractions, 100 * cells).alias("_cuts"))
-        placed = candidates.join(F.broadcast(cuts), "_first").select(
-            "v", "n", F.col("_first").alias("_range"),
-            F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("_cell"),
-        )
-        in_range = Window.partitionBy("_range").orderBy("_cell").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        hit = (
-            placed.groupBy("_range", "_cell").agg(F.sum("n").alias("_size"))
-            .withColumn("_first", F.col("_range") + F.coalesce(F.sum("_size").over(in_range), F.lit(0)))
-            .withColumn("_ranks", ranks)
-            .where(holds_rank(F.col("_first"), F.col("_size")))
-            .select("_range", "_cell", "_first")
-        )
-        candidates = placed.join(F.broadcast(hit), ["_range", "_cell"]).select("v", "n", "_first")
-
-    up_to_here = Window.partitionBy("_first").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, -1
+    rows = df.where(x.isNotNull()).select(x.alias("v"))
+    quantiles = sorted(float(q) for q in quantiles)
+    many = len(quantiles)
+    # The sketch is off by one part in ``accuracy`` at most; neighbours in rank add one row.
+    margin = 4 / accuracy
+    ends = [max(0.0, q - margin) for q in quantiles] + [min(1.0, q + margin) for q in quantiles]
+    sketch = F.percentile_approx("v", ends, accuracy)
+    first = rows.agg(
+        F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
+        F.max("v").alias("max"), sketch.alias("ends"),
     )
-    ranked = candidates.select(
-        "v", "n", (F.col("_first") + F.coalesce(F.sum("n").over(up_to_here), F.lit(0))).alias("_at")
-    ).withColumn("_ranks", ranks)
-
-    def value_at(i: int) -> Column:
-        rank = F.get(F.col("_ranks"), F.lit(i))
-        return F.max(F.when((rank >= F.col("_at")) & (rank < F.col("_at") + F.col("n")), F.col("v")))
-
-    found = ranked.agg(*[value_at(i).alias(f"_v{i}") for i in range(2 * len(quantiles))])
-    columns = [
-        F.coalesce(total["n"], F.lit(0)).alias("count"),
-        total["mean"].alias("mean"),
-        F.when(total["n"] > 1, F.sqrt(moments / (total["n"] - 1))).alias("std"),
-        total["lo"].alias("min"),
-    ]
-    for i, (q, position) in enumerate(zip(quantiles, positions)):
-        lower, upper = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        part = position - F.floor(position)
-        columns.append((lower + (upper - lower) * part).alias(f"p{q * 100:g}"))
-    columns.append(total["hi"].alias("max"))
-    return found.select(*columns)
+    few = F.col("count") <= accuracy
+    lo = F.when(few, F.transform(F.slice("ends", 1, many), lambda e: F.col("min"))).otherwise(F.slice("ends", 1, many))
+    hi = F.when(few, F.transform(F.slice("ends", 1, many), lambda e: F.col("max"))).otherwise(F.slice("ends", many + 1, many))
+    first = first.withColumns({"lo": lo, "hi": hi}).drop("ends")
+
+    # Rows outside all brackets are counted between them, rows inside by their value.
+    marked = rows.join(F.broadcast(first.select("lo", "hi")))
+    inside = F.exists(F.arrays_zip("lo", "hi"), lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
+    above = F.size(F.filter("lo", lambda b: b > F.col("v")))
+    marked = marked.withColumns({"inside": inside, "above": above})
+    counted = marked.groupBy(F.when(F.col("inside"), F.col("v")).alias("v"), "above").agg(F.count("*").alias("n"))
+
+    # Per bracket: the rank at which each of its values begins.
+    numbers = F.sequence(F.lit(0), F.lit(many - 1))
+    spread = counted.join(F.broadcast(first.select("lo", "hi", "count"))).withColumn("i", F.explode(numbers))
+    below = F.col("above") >= many - F.col("i")
+    within = F.col("v").isNotNull() & (F.col("v") >= F.get("lo", F.col("i"))) & (F.col("v") <= F.get("hi", F.col("i")))
+    kept = spread.where(below | within).select("i", "n", "count", F.when(within & ~below, F.col("v")).alias("v"))
+    # All that lies below a bracket becomes one row, which comes first.
+    kept = kept.groupBy("i", "v").agg(F.sum("n").alias("n"), F.max("count").alias("count"))
+    earlier = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = kept.withColumn("at", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    position = F.get(F.lit(quantiles), F.col("i")) * (F.col("count") - 1)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("at")) & (rank < F.col("at") + F.col("n")), F.col("v")))
+
+    found = ranked.withColumn("p", position).groupBy("i").agg(
+        value_at(F.floor("p")).alias("lower"), value_at(F.ceil("p")).alias("upper"), F.max(F.col("p") - F.floor("p")).alias("part")
+    )
+    exact = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
+    row = found.agg(*(F.max(F.when(F.col("i") == i, exact)).alias(f"p{q * 100:g}") for i, q in enumerate(quantiles)))
+    # Squares that overflow leave no number; the deviation of finite values is then beyond all.
+    overflow = F.isnan("std") & (F.abs("min") < float("inf")) & (F.abs("max") < float("inf"))
+    first = first.withColumn("std", F.when(overflow, float("inf")).otherwise(F.col("std")))
+    return first.join(F.broadcast(row)).select("count", "mean", "std", "min", *row.columns, "max")

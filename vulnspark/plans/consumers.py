@@ -37,7 +37,7 @@ def panels(
         "key_figures": stats.key_figures(rows, "severity", "cvss_score"),
         "severities": stats.ordered_counts(rows, "severity", SEVERITY_DISPLAY),
         "attack_types": stats.shares(rows, "attack_type"),
-        "score_histogram": stats.histogram(rows, "cvss_score"),
+        "score_histogram": stats.fitted_histogram(rows, "cvss_score"),
         "score_bands": stats.at_least(rows, "cvss_score", (9.0, 7.0)),
         "top_cwe": stats.top_present(rows, "cwe"),
         "top_vendors": stats.exploded_counts(rows, "vendor").limit(10),
@@ -50,9 +50,16 @@ def dashboard(feature_xml: DataFrame, **choices) -> dict[str, DataFrame]:
     return panels(dashboard_view(feature_xml), **choices)
 
 
-def eda_report(eda: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the exploratory report."""
-    day = any_date(F.col("published"))
+def eda_report(eda: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All tables of the exploratory report.
+
+    With ``order``, the columns of the document order, the first date that can be read decides
+    the format of all; without it each date is read by itself.
+    """
+    if order:
+        dated, day = stats.with_inferred_days(eda, "published", order, "_day"), F.col("_day")
+    else:
+        dated, day = eda, any_date(F.col("published"))
     columns = ["cve_id", "vendor", "attack_type", "cvss_score", "severity", "published"]
     return {
         "total": stats.row_count(eda),
@@ -62,8 +69,8 @@ def eda_report(eda: DataFrame) -> dict[str, DataFrame]:
         "top_vendors": stats.top_values(eda, "vendor"),
         "mean_by_attack": stats.mean_by(eda, "attack_type", "cvss_score"),
         "severities": stats.dense_counts(eda, "severity", SEVERITIES, "severity"),
-        "undated": stats.any_null(eda, day),
-        "timeline": stats.timeline(eda, day),
+        "undated": stats.any_null(dated, day),
+        "timeline": stats.timeline(dated, day),
         "severity_by_attack": stats.dense_crosstab(
             eda,
             F.lower(F.coalesce(F.col("attack_type"), F.lit(""))),

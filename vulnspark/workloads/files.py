@@ -7,7 +7,7 @@ from vulnspark import jobs, schemas
 from vulnspark.functions.nested import joined
 from vulnspark.operators import search
 from vulnspark.operators.cleaning import clean_records
-from vulnspark.operators.features import build_features, flatten, to_feature_xml
+from vulnspark.operators.features import StepCounts, build_features, flatten, to_feature_xml
 from vulnspark.operators.reshape import nest_records
 from vulnspark.operators.views import dashboard_view
 from vulnspark.session import scratch_path
@@ -167,6 +167,15 @@ def staged_feature_table(spark, sf_dir):
     return records.shown_features(spark.read.parquet(f"{base}/table").select(*schemas.FEATURES.fieldNames()))
 
 
+@workload("observed_quality", WORKLOADS["quality_report"].sql)
+def observed_quality(spark, sf_dir):
+    """The counters of the run that writes the feature table."""
+    counts = StepCounts()
+    raw = raw_records(spark, sf_dir)
+    build_features(nest_records(clean_records(raw)), ["_seq"], counts=counts).write.parquet(scratch_path(spark, "counted-features"))
+    return counts.report(spark)
+
+
 @workload("stored_index_search", WORKLOADS["tfidf_search_all"].sql)
 def stored_index_search(spark, sf_dir):
     """Build the index tables once, then search them."""

@@ -186,6 +186,51 @@ def histogram_quantity(spark, sf_dir):
     return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 5.0, 10.0, 30.0)
 
 
+def _fitted_sql(table_name: str, column: str) -> str:
+    return f"""
+    WITH rows AS (SELECT CAST({column} AS DOUBLE) AS x FROM {table_name} WHERE {column} IS NOT NULL),
+    ends AS (SELECT min(x) AS lo, max(x) AS hi FROM rows),
+    widths AS (SELECT lo, hi, unnest([1.0, 2.0, 5.0, 10.0, 20.0]::DOUBLE[]) * pow(10.0::DOUBLE, floor(log10((hi - lo) / 20))) AS w FROM ends),
+    chosen AS (SELECT lo, hi, min(w) AS w FROM widths WHERE ceil(hi / w) - floor(lo / w) <= 20 GROUP BY lo, hi)
+    SELECT greatest(least(floor(x / w), ceil(hi / w) - 1), floor(lo / w)) * w AS bin_start, w AS bin_width, count(*) AS n
+    FROM rows CROSS JOIN chosen GROUP BY 1, 2"""
+
+
+@workload("fitted_histogram_quantity", _fitted_sql("lineitem", "l_quantity"))
+def fitted_histogram_quantity(spark, sf_dir):
+    return stats.fitted_histogram(table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@workload("fitted_histogram_totalprice", _fitted_sql("orders", "o_totalprice"))
+def fitted_histogram_totalprice(spark, sf_dir):
+    return stats.fitted_histogram(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+# Dates in three orders; the first row that has one decides.
+_ORDERS_SQL = """CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'soon' WHEN 2 THEN NULL
+    ELSE strftime(o_orderdate, '%d/%m/%Y') END"""
+
+
+@workload(
+    "inferred_timeline",
+    f"""WITH rows AS (SELECT o_orderkey, {_ORDERS_SQL} AS t FROM orders),
+        seen AS (SELECT o_orderkey, t, CASE WHEN try_strptime(t, '%Y-%m-%d') IS NOT NULL THEN '%Y-%m-%d'
+                   WHEN try_strptime(t, '%m/%d/%Y') IS NOT NULL THEN '%m/%d/%Y'
+                   WHEN try_strptime(t, '%d/%m/%Y') IS NOT NULL THEN '%d/%m/%Y' END AS f FROM rows),
+        chosen AS (SELECT arg_min(f, o_orderkey) AS f FROM seen WHERE f IS NOT NULL),
+        days AS (SELECT CASE WHEN chosen.f = '%Y-%m-%d' THEN try_strptime(t, '%Y-%m-%d')
+                   WHEN chosen.f = '%m/%d/%Y' THEN try_strptime(t, '%m/%d/%Y') ELSE try_strptime(t, '%d/%m/%Y') END AS d FROM rows CROSS JOIN chosen)
+        SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM days WHERE d IS NOT NULL GROUP BY 1""",
+)
+def inferred_timeline(spark, sf_dir):
+    """Orders per day where days are texts in several formats: that of the first readable one counts."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    texts = F.when(key % 5 == 0, F.date_format(date, "yyyy-MM-dd")).when(key % 5 == 1, "soon").when(key % 5 > 2, F.date_format(date, "dd/MM/yyyy"))
+    rows = table(spark, sf_dir, "orders").select(key, texts.alias("t"))
+    dated = stats.with_inferred_days(rows, "t", ["o_orderkey"])
+    return stats.timeline(dated, F.col("day")).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
 @workload(
     "score_bands",
     """SELECT count(*) FILTER (l_quantity / 5 >= 9) AS at_least_9, count(*) FILTER (l_quantity / 5 >= 7) AS at_least_7

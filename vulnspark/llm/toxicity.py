@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import Shipped, _BYTE, as_bytes, col, map_rows, mixed
+from vulnspark.llm.common import Shipped, _BYTE, as_bytes, col, discard, map_rows, mixed, stored
 
 LETTERS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256)
@@ -120,20 +123,37 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z + self.bias[1] - self.bias[0], -500, 500)))
 
 
+def _bag(text: bytes) -> tuple[bytes, bytes]:
+    """The different words of a text, joined by spaces, and how often each is there."""
+    times = Counter(words(text))
+    return b" ".join(times), np.fromiter(times.values(), np.int32, len(times)).tobytes()
+
+
 def train(texts: list[bytes], labels: list[int], settings: Settings) -> Model:
-    """Gradient steps (Adam, averaged over each batch) on vectors, weights and bias together."""
+    """``train_bags`` on whole texts."""
+    return train_bags(((*_bag(t), y) for t, y in zip(texts, labels)), settings)
+
+
+def train_bags(bags: Iterable[tuple[bytes, bytes, int]], settings: Settings) -> Model:
+    """Gradient steps (Adam, averaged over each batch) on vectors, weights and bias together.
+
+    ``bags`` are words, counts and label of each text. They are taken up one by one; what stays
+    are the different words of all and their numbers in each.
+    """
     rng = np.random.default_rng(settings.seed)
     vectors = rng.normal(0, 0.1, (settings.buckets, settings.dims))
     weights = rng.normal(0, 0.1, (settings.dims, 2))
     bias = np.zeros(2)
+    vocabulary: dict[bytes, int] = {}
+    docs, labels = [], []
+    for found, times, label in bags:
+        found = found.split()
+        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int32, len(found))
+        docs.append((ids, np.frombuffer(bytes(times), np.int32)))
+        labels.append(label)
     y = np.array(labels, np.int64)
     if not len(y):
         return Model(settings, vectors, weights * 0, bias)
-    vocabulary: dict[bytes, int] = {}
-    docs = []
-    for t in texts:
-        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), np.int64)
-        docs.append(tuple(x.astype(np.int32) for x in np.unique(ids, return_counts=True)))
     share = np.bincount(y, minlength=2) / len(y)
     bias[:] = np.log(np.maximum(share, 1e-3))
     if not vocabulary:
@@ -192,11 +212,13 @@ def fit(
 ) -> Model:
     """Train on the documents that ``labels`` marks 0 or 1, at most ``settings.sample`` of them.
 
-    Ids are chosen before texts are read; the chosen texts, some tens of MB whatever the
-    input, are brought to the driver. An id with several labels has the largest, one
-    with several documents may give several examples. With no example every text
-    scores 0.5.
+    Ids are chosen before texts are read. Tasks reduce the chosen texts to their different
+    words and write them; the driver takes these up file by file, so it never holds the
+    texts, however long they are. An id with several labels has the largest, one with several
+    documents may give several examples; repeated rows are examples each. With no example
+    every text scores 0.5.
     """
+    spark = docs.sparkSession
     chosen = (
         labels.filter(col(label_col).isin(0, 1) & col(id_col).isNotNull())
         .groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("label"))
@@ -204,14 +226,28 @@ def fit(
     )
     texts = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("text", "label", F.xxhash64("id", "text").alias("h"))
-    rows = found.orderBy("h", "text").limit(settings.sample).select("text", "label").toArrow()
-    return train(as_bytes(rows.column("text").combine_chunks()), rows.column("label").to_pylist(), settings)
+    bags = stored(
+        map_rows(found, ["text"], ["h", "label"], "words binary, times binary", lambda texts: list(zip(*map(_bag, as_bytes(texts)))) or [[], []]),
+        "examples",
+    )
+    order = sorted(r["h"] for r in bags.select("h").orderBy("h").limit(settings.sample).collect())
+    if not order:
+        return train_bags([], settings)
+    rows = []
+    for r in bags.filter(F.col("h") <= order[-1]).toLocalIterator():
+        rows.append((r["h"], r["label"], zlib.compress(bytes(r["words"]), 1), bytes(r["times"])))
+    discard(bags)
+    rows.sort()
+    # What gathering took in the JVM goes back before training takes its own.
+    spark._jvm.System.gc()
+    return train_bags(((zlib.decompress(w), n, y) for _, y, w, n in rows[: settings.sample]), settings)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Row for row the ``keep`` columns and ``score``, 0 to 1: the probability of label 1.
 
-    A null or empty text, or one without words, gets the score of the classes' shares.
+    A null or empty text, or one without words, gets the score of the classes' shares. Repeated
+    rows score alike, an empty table gives none, and a kept column named ``score`` is replaced.
     """
     held = Shipped(docs.sparkSession, model)
     cache: dict[bytes, float] = {}

@@ -41,6 +41,14 @@ def test_ties_repeats_and_short_vectors(spark):
     assert found(spark, rows, 20) == brute(rows, 20)
 
 
+def test_many_equal_vectors(spark, monkeypatch):
+    """A third of all rows ties at the cutoff; ties go to the smaller ids, cell by cell."""
+    monkeypatch.setattr(exact_search, "PACK_ROWS", 32)
+    monkeypatch.setattr(exact_search, "QUERY_ROWS", 4)
+    rows = vectors(80, 4, 2) + [(i, [2, 2, 2, 2]) for i in range(200, 360)]
+    assert found(spark, rows, 7) == brute(rows, 7)
+
+
 def test_fewer_candidates_nulls_and_nothing(spark):
     rows = vectors(5, 3, 9)
     assert found(spark, rows, 20) == brute(rows, 20)

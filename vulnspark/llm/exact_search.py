@@ -155,19 +155,37 @@ def top_k(
     def named(cell, pairs_of: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(x["named"], "<i4").reshape(-1, 2) for x in cell[pairs_of]]).astype(np.int64)
 
+    def best_of(ids, c_row, kept):
+        i, j, s = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((c_row[j], ids[j], -s, i))
+        i, j, s = i[order], j[order], s[order]
+        first = np.searchsorted(i, i)
+        few = np.arange(len(i)) - first < k
+        return i[few], j[few], s[few]
+
     def resolve(batches, exact: bool):
-        """Whole scores of all pairs that some list named, list by list; from ``exact`` on only what reaches the cutoff."""
+        """Whole scores of all pairs that some list named, list by list; with ``exact`` only those that reach the
+        cutoff, and of a query no more than its ``k`` best in the cell: of any number of equal vectors no more can count."""
         for cell in _cells(batches):
             q_parts = [_unpack(x["data"]) for x in sorted(cell["q_lists"], key=lambda x: x["list"])]
             c_parts = [_unpack(x["data"]) for x in sorted(cell["c_lists"], key=lambda x: x["list"])]
             (_, q_row, _), (ids, c_row, _) = q_parts[0], c_parts[0]
             code = np.unique(named(cell, "named_by") @ np.array([len(c_row), 1]))
             floor = _by_row(q_row, cell["cuts"], "cutoff") if exact else None
+            kept = []
             for part in np.array_split(code, len(code) // 65_536 + 1):
                 i, j = part // max(1, len(c_row)), part % max(1, len(c_row))
                 s = sum((q[i] * c[j]).sum(axis=1) for (_, _, q), (_, _, c) in zip(q_parts, c_parts))
-                ok = s >= floor[i] if exact else np.ones(len(s), bool)
-                yield _entries(q_row[i[ok]], c_row[j[ok]], ids[j[ok]], 0, s[ok])
+                if not exact:
+                    yield _entries(q_row[i], c_row[j], ids[j], 0, s)
+                    continue
+                ok = s >= floor[i]
+                kept.append((i[ok], j[ok], s[ok]))
+                if len(kept) > 64:
+                    kept = [best_of(ids, c_row, kept)]
+            if exact:
+                i, j, s = best_of(ids, c_row, kept)
+                yield _entries(q_row[i], c_row[j], ids[j], 0, s)
 
     def with_packs(found: DataFrame) -> DataFrame:
         """A row per pair of packs: what all lists named there, and the vectors."""

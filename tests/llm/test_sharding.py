@@ -26,6 +26,13 @@ def test_one_row_repeated(spark):
     check(ring_shards(docs, 40).collect(), 40)
 
 
+def test_a_row_repeated_over_several_stretches(spark):
+    docs = spark.range(30_000).select((F.col("id") % 3 * (F.col("id") % 2)).alias("doc_id"), F.lit("same").alias("text"))
+    rows = ring_shards(docs, 7, replicas=16).collect()
+    check(rows, 7)
+    assert len(rows) == 30_000
+
+
 def test_more_shards_than_rows_and_no_rows(odd_docs, no_docs):
     check(ring_shards(odd_docs, 64, replicas=8).collect(), 64)
     assert ring_shards(no_docs, 4).collect() == []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vulnspark.llm.common import col, stored
 
 _CELL_BITS = 13
+_STRETCH = 4096
 
 
 def _place(*parts: Column | str) -> Column:
@@ -142,10 +143,16 @@ def ring_shards(
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    equal = rows.groupBy("id", "size", "text_crc32").count()
-    keys = equal.select(
-        "id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy")
-    ).withColumn("place", _place(F.lit("key"), "id", "size", "text_crc32", "copy"))
+    key = ["id", "size", "text_crc32"]
+    equal = rows.groupBy(*key).count()
+    # Equal rows are numbered in stretches; the stretches of a row that is there very often are dealt out first.
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / _STRETCH))
+    often = equal.filter(F.col("count") > _STRETCH).withColumn("stretch", F.explode(stretches)).repartition(*key, "stretch")
+    seldom = equal.filter(F.col("count") <= _STRETCH).withColumn("stretch", F.lit(0).cast("long"))
+    first = F.col("stretch") * _STRETCH + 1
+    copies = F.sequence(first, F.least(F.col("count"), first + (_STRETCH - 1)))
+    keys = seldom.unionByName(often).select(*key, F.explode(copies).alias("copy"))
+    keys = keys.withColumn("place", _place(F.lit("key"), *key, "copy"))
     ring = _ring(docs.sparkSession, shards, replicas)
     keys = stored(_on_arcs(keys, ring), "ring_keys")
     loads = (

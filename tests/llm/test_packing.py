@@ -29,7 +29,10 @@ def test_many_words_at_once(tokenizer):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(400)]
     found = Words(tokenizer_path()).of([t.encode() for t in texts])
     assert found == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert found[0:0] == [] and Words(tokenizer_path()).of([b"a <|endoftext|> b"])[0] == np.array([320, 49407, 321], "<u4").tobytes()
+    plain = [f"{a}{b}{c} {d}" for a in ("Été", "abc", "12", "") for b in ("...", ",", "_x", "×", "'s", "÷") for c in ("ŒUVRE", "ß9", "") for d in ("", "ſt", "İ", "ı!", "a\x1cb")]
+    found = Words(tokenizer_path()).of([t.encode() for t in plain])
+    assert found == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in plain]
+    assert Words(tokenizer_path()).of([b"a <|endoftext|> b"])[0] == np.array([320, 49407, 321], "<u4").tobytes()
 
 
 def well_packed(rows, capacity):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from dataclasses import dataclass, field
@@ -22,6 +23,14 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words with other signs than these, or with the beginning of a special token, are encoded whole. Letters
 # of these blocks have one lower case, and none is a combining mark.
 ODD = r"[^ ]*(?:[^ \x21-\x7E\u00A1-\u00AC\u00AE-\u012F\u0132-\u017F]|<\|)[^ ]*"
+# Bytes of texts that are cut byte by byte: ASCII but for controls and the apostrophe, which begins parts of its
+# own, and the letters from U+00C0 to U+017F but for the signs and letters in RARE.
+KINDS = np.zeros(256, np.uint8)  # 0: white space
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = 1
+KINDS[0x30:0x3A] = 2
+KINDS[[c for c in range(0x21, 0x7F) if not KINDS[c]]] = 3
+EASY = bytes([9, 10, 11, 12, 13, 32, *(c for c in range(256) if KINDS[c] and c != 0x27)])
+RARE = (b"<|", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"\xc4\xb1")
 # Stands between words; no token has this id.
 GAP = b"\xff\xff\xff\xff"
 SALTS = 64
@@ -39,24 +48,58 @@ class Words:
     join the parts of a word (letters, a digit, other signs), so words of common
     scripts are put together from their parts; all others, and those that may hold one of
     the tokenizer's special tokens, are encoded whole. New words are cut all at once, as one text.
+    Texts of easy bytes only, most of them, are cut into parts at once and need no words.
     """
 
     path: str
     ids: dict[bytes, bytes] = field(default_factory=dict)
     parts: dict[str, bytes] = field(default_factory=dict)
+    runs: dict[bytes, bytes] = field(default_factory=dict)
     tools: tuple = ()
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         if not self.tools:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             import regex
             from tokenizers import Tokenizer
 
-            self.tools = Tokenizer.from_file(self.path), regex.compile(PARTS + "| "), regex.compile(ODD)
-        for known in (self.ids, self.parts):
+            tokenizer = Tokenizer.from_file(self.path)
+            closes = np.zeros(tokenizer.get_vocab_size(), bool)
+            closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+            self.tools = tokenizer, regex.compile(PARTS + "| "), regex.compile(ODD), closes
+        for known in (self.ids, self.parts, self.runs):
             if len(known) > CACHE_WORDS:  # frequent words came first
                 first = list(islice(known.items(), KEPT_WORDS))
                 known.clear()
                 known.update(first)
+        easy = [not t.translate(None, EASY) and not any(r in t for r in RARE) for t in texts]
+        cut = iter(self._of_easy([t for t, e in zip(texts, easy) if e]))
+        words = iter(self._of_words([t for t, e in zip(texts, easy) if not e]))
+        return [next(cut if e else words) for e in easy]
+
+    def _of_easy(self, texts: list[bytes]) -> list[bytes]:
+        """Parts are runs of letters or of other signs, and single digits: cut where the kind of byte changes."""
+        if not texts:
+            return []
+        data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+        kinds = KINDS[data]
+        begins = kinds != 0
+        inside = begins[1:] & begins[:-1]
+        begins[1:] &= ~inside | (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+        gap = begins.copy()
+        gap[1:] &= inside
+        gap[0] = False
+        spread = np.full(len(data) + int(gap.sum()), 32, np.uint8)
+        spread[np.arange(len(data)) + np.cumsum(gap)] = data
+        found = spread.tobytes().split()
+        new = list(set(found).difference(self.runs))
+        self.runs.update(zip(new, self._encode([r.decode() for r in new])))
+        before = np.concatenate(([0], np.cumsum(begins)))
+        ends = before[np.cumsum([len(t) + 1 for t in texts])].tolist()
+        get = self.runs.__getitem__
+        return [b"".join(map(get, found[a:b])) for a, b in zip([0, *ends], ends)]
+
+    def _of_words(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.ids))
         for a in range(0, len(new), 100_000):
@@ -65,7 +108,7 @@ class Words:
         return [b"".join(map(get, ws)) for ws in split]
 
     def _learn(self, words: list[bytes]) -> None:
-        tokenizer, parts, odd = self.tools
+        tokenizer, parts, odd, _ = self.tools
         text = b" ".join(words).decode()
         whole = list(set(odd.findall(text)))
         for a in range(0, len(whole), 20_000):
@@ -77,13 +120,7 @@ class Words:
             text = b" ".join(words).decode()
         cut = parts.findall(text.lower())
         new = list(set(cut).difference(self.parts, " "))
-        # One text of many parts takes a fraction of the time of as many texts.
-        some_of = [new[a : a + 200] for a in range(0, len(new), 200)]
-        for some, e in zip(some_of, tokenizer.encode_batch(some_of, is_pretokenized=True, add_special_tokens=False)):
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            ends = np.searchsorted(of, np.arange(len(some)), "right").tolist()
-            flat = ids.tobytes()
-            self.parts.update((p, flat[4 * x : 4 * y]) for p, x, y in zip(some, [0, *ends], ends))
+        self.parts.update(zip(new, self._encode(new)))
         self.parts[" "] = GAP
         flat = b"".join(map(self.parts.__getitem__, cut))
         ends = np.flatnonzero(np.frombuffer(flat, "<u4") == np.uint32(0xFFFFFFFF)) * 4
@@ -91,6 +128,21 @@ class Words:
         if words:
             self.ids.update(zip(words, [flat[a:b] for a, b in zip(begins, ends)], strict=True))
 
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. One text of many takes a fraction of the time of as many texts; a part's last token says so."""
+        tokenizer, _, _, closes = self.tools
+        out = []
+        for a in range(0, len(parts), 2000):
+            some = parts[a : a + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(closes[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                flat, ends = ids.tobytes(), (4 * ends).tolist()
+                out += [flat[x:y] for x, y in zip([0, *ends], ends)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
 
 def _kept_words(path: str) -> Words:
     """One per Python worker: later tasks of the worker find the words of earlier ones."""

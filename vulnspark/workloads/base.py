@@ -35,9 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slots(spark: SparkSession) -> int:
-    """The test tables are single files of one row group each; their rows are dealt to this many tasks."""
-    return spark.sparkContext.defaultParallelism
+def slots(spark: SparkSession) -> int | None:
+    """Tasks to deal the rows of a table to. Local test tables are single files of one row group, which one
+    task would read; on a cluster tables have many files and stay as they are."""
+    return spark.sparkContext.defaultParallelism if spark.sparkContext.master.startswith("local[") else None
 
 
 # -- SQL fragments --------------------------------------------------------------

@@ -114,7 +114,7 @@ def test_dashboard_panels(spark):
     assert [tuple(r) for r in panels["top_vendors"].collect()] == [("acme", 2), ("second", 1), ("third", 1)]
     assert [tuple(r) for r in panels["top_cwe"].collect()] == [("CWE-79, CWE-20", 4)]
     assert panels["score_bands"].first().asDict() == {"at_least_9": 3, "at_least_7": 3}
-    assert [tuple(r) for r in panels["score_histogram"].collect()] == [(9.5, 3)]
+    assert [tuple(r) for r in panels["score_histogram"].collect()] == [(9.0, 1.0, 3)]
     feed = panels["feed"].collect()
     assert feed[0].cve_id == "G" and all(0 < r.relevance <= 1 for r in feed)
     assert dashboard(features, attack_types=["XSS"])["rows"].count() == 0

@@ -38,7 +38,10 @@ def _records(spark: SparkSession, a: argparse.Namespace, schema) -> DataFrame:
 
 
 def _nested(spark: SparkSession, a: argparse.Namespace, schema) -> DataFrame:
-    return in_sequence(read_xml(spark, a.input, with_seq(schema), encoding=a.encoding, order=True), SEQ)
+    rows = read_xml(spark, a.input, with_seq(schema), encoding=a.encoding, order=True)
+    # Any record tells whether the files carry numbers, one in a comment too.
+    some = read_xml(spark, a.input, with_seq(schema), on_error="keep", comments=False)
+    return in_sequence(rows, SEQ, peek=some)
 
 
 def collect(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -52,12 +52,13 @@ def numbered(rows: DataFrame, name: str, order: Sequence[str] = DOC_ORDER) -> Da
     return rows.join(F.broadcast(splits), [file, block]).withColumn(name, F.col("_shift") + F.col(row)).drop(*order, "_shift")
 
 
-def in_sequence(rows: DataFrame, name: str) -> DataFrame:
+def in_sequence(rows: DataFrame, name: str, peek: DataFrame | None = None) -> DataFrame:
     """Rows with document order and a column for their number: numbered now, unless their files carry the numbers.
 
-    Of the files of one read either all carry them or none does; the first row tells.
+    Of the files of one read either all carry them or none does; the first row tells. ``peek``
+    may be a cheaper way to the first row.
     """
-    first = rows.select(name).first()
+    first = (rows if peek is None else peek).select(name).first()
     if first is not None and first[0] is None:
         return numbered(rows.drop(name), name)
     return rows.drop(*DOC_ORDER)

@@ -43,7 +43,12 @@ def slots(spark: SparkSession) -> int | None:
 
 # -- SQL fragments --------------------------------------------------------------
 
+# The patterns for link labels, titles and vendors, the order in which versions are preferred and the
+# names of the levels; the results of the twins hang on them.
 SQL_WORD = r"[\p{L}\p{N}_]"
+SQL_LINK = r"\[([^\]]+)\]\([^)]+\)"
+SQL_VERSIONS = ("3.1", "3.0", "4.0", "2.0")
+SQL_LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
 def sql_strip(x: str) -> str:
@@ -59,7 +64,7 @@ def sql_or_unknown(x: str) -> str:
 
 
 def sql_link_labels(x: str) -> str:
-    replaced = rf"regexp_replace({x}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
+    replaced = rf"regexp_replace({x}, '{SQL_LINK}', '\1', 'g')"
     return f"CASE WHEN {x} IS NULL OR {x} = '' THEN 'unknown' ELSE {replaced} END"
 
 
@@ -72,7 +77,7 @@ def sql_clean_title(x: str) -> str:
     w = SQL_WORD
     t = rf"regexp_replace({x}, '^Title:\s*', '')"
     t = f"coalesce(nullif({t}, ''), 'unknown')"
-    t = rf"regexp_replace({t}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
+    t = rf"regexp_replace({t}, '{SQL_LINK}', '\1', 'g')"
     t = rf"regexp_replace({t}, '{w}+\.py($|[^\p{{L}}\p{{N}}_])', '\1', 'g')"
     t = rf"regexp_replace({t}, '(^|[^\p{{L}}\p{{N}}_])_[a-zA-Z0-9_]+($|[^\p{{L}}\p{{N}}_])', '\1\2', 'g')"
     t = rf"regexp_replace({t}, '(?i)\b(injection)\b[^\n]*\binjection\b', '\1', 'g')"
@@ -100,7 +105,7 @@ def sql_number(x: str) -> str:
 
 
 def sql_best_score(scores: str, versions: str) -> str:
-    at = [f"{scores}[list_position({versions}, '{v}')]" for v in ("3.1", "3.0", "4.0", "2.0")]
+    at = [f"{scores}[list_position({versions}, '{v}')]" for v in SQL_VERSIONS]
     return (
         f"coalesce(CASE WHEN len({scores}) = len({versions}) THEN coalesce({', '.join(at)}) END, "
         f"{scores}[1])"
@@ -108,10 +113,10 @@ def sql_best_score(scores: str, versions: str) -> str:
 
 
 def sql_best_severity(severities: str, versions: str, scores: str) -> str:
-    at = [f"{severities}[list_position({versions}, '{v}')]" for v in ("3.1", "3.0", "4.0", "2.0")]
+    at = [f"{severities}[list_position({versions}, '{v}')]" for v in SQL_VERSIONS]
     known = ", ".join(
         f"CASE WHEN list_contains({severities}, '{s}') THEN '{s}' END"
-        for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+        for s in SQL_LEVELS
     )
     return (
         f"coalesce(CASE WHEN len({severities}) = len({versions}) AND len({severities}) = len({scores}) "

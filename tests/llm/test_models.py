@@ -86,6 +86,23 @@ def test_seats_keep_their_customers():
     assert (again.sizes == seats.sizes).all()
 
 
+def test_a_restaurant_follows_its_customers():
+    """Who stays keeps the seat; tables come and go with those who come and leave."""
+    rng = np.random.default_rng(3)
+    dish = np.arange(6)
+    before = np.array([1, 5, 40, 300, 7, 2])
+    seats = Seating(np.zeros(6, np.int64), dish, before.copy())
+    seats.begin(rng, np.full(6, 1 / 6), 0.5, 1.0)
+    for after in (before + 25, np.array([1, 1, 90, 2, 7, 3]), before):
+        seats.follow(rng, after, np.full(6, 1 / 6), 0.5, 1.0)
+        rows = seats.rows()
+        assert [sum(r) for r in rows] == after.tolist() and all(min(r) > 0 for r in rows)
+        assert (seats.tables() == [len(r) for r in rows]).all()
+    alone = Seating(np.zeros(6, np.int64), dish, before.copy(), [[n] for n in before.tolist()])
+    alone.follow(rng, before, np.full(6, 1 / 6), 0.5, 1.0)
+    assert alone.rows() == [[n] for n in before.tolist()]
+
+
 def test_gibbs_agrees_with_exact_tables():
     """One dish with few customers: the share of samples with t tables against the exact law."""
     d, theta, p, c = 0.5, 1.0, 0.3, 4

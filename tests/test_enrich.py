@@ -48,3 +48,11 @@ def test_explanations(spark):
 
 def test_preview(value):
     assert value(enrich.preview_text(F.col("t")), t="x" * 100) == "x" * 80
+
+
+def test_a_model_gets_some_text_at_once(spark):
+    texts = [str(i % 10) * 200_000 for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    found = enrich.explain(df, F.col("t"), lambda prompts: [f"{len(prompts)} {p[0]}" for p in prompts]).select("i", "ai_explanation").collect()
+    assert [int(r.ai_explanation.split()[1]) for r in sorted(found)] == [i % 10 for i in range(40)]
+    assert max(int(r.ai_explanation.split()[0]) for r in found) <= 2 + enrich.PROMPTS // 200_000

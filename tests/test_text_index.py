@@ -1,5 +1,6 @@
 """The segmented index against a plain search over all texts."""
 
+import pathlib
 import random
 
 import pytest
@@ -69,3 +70,9 @@ def test_a_selection_is_fitted_by_itself(built, any_of, least):
     kept = [r for r in rows if (not any_of.get("severity") or r[2] in any_of["severity"]) and (least is None or (r[3] or 0) >= least)]
     found = index.search_selection("w1 w2 w30", index.select(any_of, at_least), 20).collect()
     same([(r.doc, r.relevance) for r in found], plain_search("w1 w2 w30", [(r[0], r[1]) for r in kept])[:20])
+
+
+def test_a_generation_keeps_its_tables_only(built):
+    index, _ = built
+    last = sorted((pathlib.Path(index.path) / "generations").iterdir())[-1]
+    assert {p.name for p in last.iterdir() if not p.name.startswith(".")} == {"terms", "docs", "forward", "blocks", "bits", "size"}

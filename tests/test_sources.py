@@ -1,6 +1,7 @@
 """Files: XML in odd states, JSON, robots texts, document order."""
 
 import os
+import re
 
 import pytest
 
@@ -105,6 +106,36 @@ def test_json_array_and_lines(spark, tmp_path):
     assert "é" in text and '"vendor":null' in text
 
 
+def test_a_look_at_arrays_reads_one_file(spark, tmp_path):
+    """Whether records carry numbers is told by one file, or by all if that one has no record."""
+    from vulnspark.sources import in_sequence
+
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    for name, rows in (("a", "[]"), ("b", '[{"cve_id": "x"}, {"cve_id": "y"}]'), ("c", '[{"cve_id": "z"}]')):
+        (folder / f"{name}.json").write_text(rows)
+    schema = schemas.with_seq(schemas.RAW_RECORD)
+    rows = read_records(spark, str(folder), schema, array=True, order=True)
+    some = read_records(spark, str(folder), schema, array=True, one_file=True)
+    assert rows.count() == 3 and some.count() < 3
+    for peek in (some, rows.where("false")):
+        found = in_sequence(rows, schemas.SEQ, peek=peek).orderBy(schemas.SEQ).collect()
+        assert [r["cve_id"] for r in found] == ["x", "y", "z"]
+
+
+def test_balance_of_pieces(spark):
+    """What opens and closes in a piece of JSON, whether it begins in a string or not."""
+    from vulnspark.sources.records import _sums
+
+    pieces = ["{[", 'a "{[" [', '"]" : [ "{', "no }]", '"', "", 'x" [ "] "{', r'\" "\\" [ \[ "{"', '[" "[" "']
+    rows = spark.createDataFrame([("f", 0, i, p) for i, p in enumerate(pieces)], "_json_path string, _json_block long, _json_row long, value string")
+    for p, r in zip(pieces, _sums(rows).orderBy("_json_row").collect()):
+        parts = re.sub(r"\\.", "", p).split('"')
+        end = [sum(c in "[{" for c in t) - sum(c in "]}" for c in t) for t in ("".join(parts[::2]), "".join(parts[1::2]))]
+        odd = len(parts) % 2 == 0
+        assert (r["quotes"], r["outside"], r["inside"]) == (len(parts) - 1, end[0] - (not odd), end[1] - odd)
+
+
 def test_robots(spark):
     lines = ["User-agent: *", "Disallow: /a ", "Disallow:", " Disallow: /no", "Allow: /", "Disallow: /x:y"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")

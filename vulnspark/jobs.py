@@ -34,7 +34,10 @@ from vulnspark.sources import in_sequence, numbered, read_records, read_xml, wit
 
 
 def _records(spark: SparkSession, a: argparse.Namespace, schema) -> DataFrame:
-    return in_sequence(read_records(spark, a.input, with_seq(schema), a.array, order=True), SEQ)
+    rows = read_records(spark, a.input, with_seq(schema), a.array, order=True)
+    # Arrays are put together before the first row is there; one file's are enough to tell.
+    some = read_records(spark, a.input, with_seq(schema), array=True, one_file=True) if a.array else None
+    return in_sequence(rows, SEQ, peek=some)
 
 
 def _nested(spark: SparkSession, a: argparse.Namespace, schema) -> DataFrame:

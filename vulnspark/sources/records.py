@@ -19,11 +19,13 @@ _PATH, _BLOCK, _ROW = "_json_path", "_json_block", "_json_row"
 _SPLIT = [_PATH, _BLOCK]
 
 
-def _balance(outside: Column) -> Column:
-    """What opens less what closes in text without whole strings, up to a string that does not end."""
-    text = F.substring_index(outside, '"', 1)
-    kept = F.length(F.regexp_replace(text, r"[^\[{]", "")) - F.length(F.regexp_replace(text, r"[^\]}]", ""))
-    return kept.cast("long")
+def _balance(text: Column) -> Column:
+    """What opens less what closes."""
+
+    def others(mark: str) -> Column:
+        return F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    return (others("]") + others("}") - others("[") - others("{")).cast("long")
 
 
 def _sums(pieces: DataFrame) -> DataFrame:
@@ -32,14 +34,14 @@ def _sums(pieces: DataFrame) -> DataFrame:
     A piece ends behind a brace, which counts unless it ends up in a string.
     """
     text = F.regexp_replace("value", r"(?s)\\.", "")
-    bare = F.regexp_replace(text, '"[^"]*"', "")
-    behind = F.regexp_replace(F.regexp_replace(text, r'^[^"]*"?', ""), '"[^"]*"', "")
+    # Without whole strings, up to a string that does not end. All else lies outside if the piece begins inside.
+    outside = _balance(F.substring_index(F.regexp_replace(text, '"[^"]*"', ""), '"', 1))
     quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
     odd = quotes % 2 == 1
     return pieces.select(
         _PATH, _BLOCK, _ROW, quotes.cast("long").alias("quotes"),
-        (_balance(bare) - F.when(odd, 0).otherwise(1)).alias("outside"),
-        (F.when(quotes > 0, _balance(behind)).otherwise(0) - F.when(odd, 1).otherwise(0)).alias("inside"),
+        (outside - F.when(odd, 0).otherwise(1)).alias("outside"),
+        (_balance(text) - outside - F.when(odd, 1).otherwise(0)).alias("inside"),
     )
 
 
@@ -80,12 +82,15 @@ def _placed(sums: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ended.select(*_SPLIT, _ROW, "ends", "record"), splits
 
 
-def _array_records(spark: SparkSession, path) -> DataFrame:
+def _array_records(spark: SparkSession, path, one_file: bool) -> DataFrame:
     """(text, path, block, row) of every record, the place being that of its first piece."""
     pieces = spark.read.option("lineSep", "}").text(path).select(
         "value", F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.file_block_start").alias(_BLOCK),
         F.monotonically_increasing_id().alias(_ROW),
     )
+    some = pieces.select(_PATH).first() if one_file else None
+    if some is not None:
+        pieces = pieces.where(F.col(_PATH) == some[0])
     placed, splits = _placed(_sums(pieces))
     # The texts are shuffled once, by split; a record lies in one split but for the last, which may go on.
     parts = pieces.join(placed, [*_SPLIT, _ROW])
@@ -109,20 +114,20 @@ def _array_records(spark: SparkSession, path) -> DataFrame:
 
 
 def read_records(
-    spark: SparkSession, path, schema: T.StructType, array: bool = False, order: bool = False
+    spark: SparkSession, path, schema: T.StructType, array: bool = False, order: bool = False, one_file: bool = False
 ) -> DataFrame:
     """Read JSON Lines, or with ``array`` files that hold one JSON array each, or several.
 
     Both are read by many tasks whatever the size of a file; an array costs a shuffle of
     its text. Elements of an array that are no objects are passed over, a malformed record
     gives a row of nulls, and what follows a record that is cut off is not there.
-    ``order`` adds the document-order columns.
+    ``order`` adds the document-order columns. ``one_file`` reads the arrays of one file only, for a look at them.
     """
     if not array:
         lines = spark.read.schema(schema).json(path)
         return lines.select("*", *document_order_columns()) if order else lines
     record = F.regexp_replace("text", r"^[^{]*", "")
-    found = _array_records(spark, path).select(F.from_json(record, schema).alias("r"), _PATH, _BLOCK, _ROW)
+    found = _array_records(spark, path, one_file).select(F.from_json(record, schema).alias("r"), _PATH, _BLOCK, _ROW)
     places = [file_order(F.col(_PATH)), F.col(_BLOCK), F.col(_ROW)]
     return found.select("r.*", *([p.alias(n) for n, p in zip(DOC_ORDER, places)] if order else []))
 

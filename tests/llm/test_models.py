@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -190,3 +191,17 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs, classifier):
 def test_sample_is_bounded(labelled):
     model = toxicity.fit(labelled, labelled.select("doc_id", "toxic"), "doc_id", "text", "toxic", toxicity.Settings(sample=10, buckets=1 << 10, steps=5))
     assert model.vectors.shape == (1 << 10, 4)
+
+
+def test_training_takes_little_memory():
+    """Steps over many different words hold one dimension of their subwords at a time."""
+    rng = random.Random(2)
+    bags = []
+    for y in (0, 1) * 32:
+        found = list({"".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(1500)})
+        bags.append((" ".join(found).encode(), np.ones(len(found), np.int32).tobytes(), y))
+    tracemalloc.start()
+    toxicity.train_bags(iter(bags), toxicity.Settings(epochs=1, steps=1, buckets=1 << 12))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 85e6

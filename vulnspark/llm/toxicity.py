@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +76,13 @@ def subwords(found: list[bytes], settings: Settings) -> tuple[np.ndarray, np.nda
     return (np.concatenate(buckets)[order] % np.uint64(settings.buckets)).astype(np.int64), np.bincount(owner, minlength=len(found))
 
 
-def _all_subwords(found: list[bytes], settings: Settings, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """The same for any number of words, some at a time."""
-    parts = [subwords(found[a : a + step], settings) for a in range(0, len(found), step)]
-    return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([c for _, c in parts])
+def _all_subwords(found: Iterable[bytes], settings: Settings, step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any number of words, some at a time; what is found grows in place."""
+    left, buckets, counts = iter(found), array("i"), array("i")
+    while part := list(islice(left, step)):
+        for held, more in zip((buckets, counts), subwords(part, settings)):
+            held.frombytes(more.astype(np.int32).tobytes())
+    return np.frombuffer(buckets, np.int32), np.frombuffer(counts, np.int32)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -87,7 +92,8 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _sum_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs; an empty run gives 0."""
-    sums = np.vstack([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
+    sums = np.zeros(len(values) + 1)
+    np.cumsum(values, out=sums[1:])
     end = np.cumsum(counts)
     return sums[end] - sums[end - counts]
 
@@ -108,7 +114,7 @@ class Model:
 
     def word_scores(self, found: list[bytes]) -> np.ndarray:
         buckets, counts = subwords(found, self.settings)
-        return _sum_by(self.direction[buckets][:, None], counts)[:, 0] / counts
+        return _sum_by(self.direction[buckets], counts) / counts
 
     def scores(self, texts: list[bytes], cache: dict[bytes, float]) -> np.ndarray:
         if len(cache) > CACHE_WORDS:
@@ -138,7 +144,8 @@ def train_bags(bags: Iterable[tuple[bytes, bytes, int]], settings: Settings) ->
     """Gradient steps (Adam, averaged over each batch) on vectors, weights and bias together.
 
     ``bags`` are words, counts and label of each text. They are taken up one by one; what stays
-    are the different words of all and their numbers in each.
+    are the subwords of all different words and the words' numbers in each text. Steps go
+    through the dimensions one at a time, and through the buckets some at a time.
     """
     rng = np.random.default_rng(settings.seed)
     vectors = rng.normal(0, 0.1, (settings.buckets, settings.dims))
@@ -158,7 +165,8 @@ def train_bags(bags: Iterable[tuple[bytes, bytes, int]], settings: Settings) ->
     bias[:] = np.log(np.maximum(share, 1e-3))
     if not vocabulary:
         return Model(settings, vectors, weights * 0, bias)
-    buckets, counts = _all_subwords(list(vocabulary), settings)
+    buckets, counts = _all_subwords(vocabulary, settings)
+    del vocabulary, bags, found
     first = np.cumsum(counts) - counts
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, weights, bias)]
     size = min(settings.batch, max(32, len(y) // 40))
@@ -166,14 +174,15 @@ def train_bags(bags: Iterable[tuple[bytes, bytes, int]], settings: Settings) ->
     step, total = 0, epochs * -(-len(y) // size)
 
     def adam(i, p, g):
-        m, v = moments[i]
-        m *= 0.9
-        m += 0.1 * g
-        v *= 0.99
-        v += 0.01 * g * g
         rate = settings.rate * (1 - (step - 1) / total)
-        p *= 1 - rate * settings.decay
-        p -= rate / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        for a in range(0, len(p), 1 << 14):
+            x, m, v, d = (y[a : a + (1 << 14)] for y in (p, *moments[i], g))
+            m *= 0.9
+            m += 0.1 * d
+            v *= 0.99
+            v += 0.01 * d * d
+            x *= 1 - rate * settings.decay
+            x -= rate / (1 - 0.9**step) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -187,19 +196,19 @@ def train_bags(bags: Iterable[tuple[bytes, bytes, int]], settings: Settings) ->
             n /= np.maximum(1e-9, np.bincount(doc, n, len(batch)))[doc]  # a word's share of its text
             used, inner = np.unique(ids, return_inverse=True)
             flat = buckets[_ranges(first[used], counts[used])]
-            word = _sum_by(vectors[flat], counts[used]) / counts[used][:, None]
-            mean = _sum_by(word[inner] * n[:, None], sizes)
+            dims = range(settings.dims)
+            word = [_sum_by(vectors[flat, k], counts[used]) / counts[used] for k in dims]
+            mean = np.stack([_sum_by(word[k][inner] * n, sizes) for k in dims], axis=1)
             z = mean @ weights + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), y[batch]] -= 1
             p /= len(batch)
             d_mean = p @ weights.T
-            d_word = np.stack(
-                [np.bincount(inner, d_mean[doc, k] * n, len(used)) for k in range(settings.dims)], axis=1
-            ) / counts[used][:, None]
-            spread = np.repeat(d_word, counts[used], axis=0)
-            d_vectors = np.stack([np.bincount(flat, spread[:, k], settings.buckets) for k in range(settings.dims)], axis=1)
+            d_vectors = np.empty_like(vectors)
+            for k in dims:
+                d_word = np.bincount(inner, d_mean[doc, k] * n, len(used)) / counts[used]
+                d_vectors[:, k] = np.bincount(flat, np.repeat(d_word, counts[used]), settings.buckets)
             d_weights = mean.T @ p
             adam(0, vectors, d_vectors)
             adam(1, weights, d_weights)

@@ -79,6 +79,31 @@ def _counted(rows: DataFrame, fields: str, keys_of) -> DataFrame:
     return rows.select("text").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
 
 
+class Index:
+    """Places of numbers in a sorted array of distinct hashes: a number's leading bits say where to begin."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(24, len(keys).bit_length() + 1)
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        before = np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))
+        self.start = np.minimum(np.concatenate(([0], before[:-1])), max(0, len(keys) - 1)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found)"""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = self.start[wanted >> self.shift].astype(np.int64)
+        there = self.keys[at]
+        found = there == wanted
+        left = np.flatnonzero((there < wanted) & (at < len(self.keys) - 1))
+        while len(left):
+            at[left] += 1
+            there = self.keys[at[left]]
+            found[left] = there == wanted[left]
+            left = left[(there < wanted[left]) & (at[left] < len(self.keys) - 1)]
+        return at, found
+
+
 @dataclass
 class Lexicon:
     """The frequent words by hash, with their counts, and which of them are dishes."""
@@ -90,10 +115,10 @@ class Lexicon:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, found)"""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        index = vars(self).get("index")
+        if index is None:
+            index = self.index = Index(self.hashes)
+        return index.find(hashes)
 
     def pairs(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Context and dish of every token as one number; a text begins in a context of its own."""
@@ -260,16 +285,18 @@ class Seating:
         restaurant's weight for new tables times the parent's probability of the dish.
         """
         several = np.flatnonzero(self.customers > 1)
+        every = slice(None) if len(several) == len(self.customers) else several
+        restaurant, base, customers = self.restaurant[every], parent[self.dish[every]], self.customers[every]
         tables = self.tables()
         first = np.cumsum(self.count) - self.count
         for _ in range(moves if len(several) else 0):
-            at, count = first[several], self.count[several]
+            at, count = first[every], self.count[every]
             left = _pick(rng, self.sizes, at, count)
             self.sizes[left] -= 1
             emptied = self.sizes[left] == 0
-            tables[several] -= emptied
-            new = (strength + discount * self.open(tables)[self.restaurant[several]]) * parent[self.dish[several]]
-            old = self.customers[several] - 1 - discount * tables[several]
+            tables[every] -= emptied
+            new = (strength + discount * self.open(tables)[restaurant]) * base
+            old = customers - 1 - discount * tables[every]
             opens = rng.random(len(several)) * (new + old) < new
             joins = ~opens
             joined = _pick(rng, np.maximum(self.sizes - discount, 0), at[joins], count[joins])
@@ -280,7 +307,7 @@ class Seating:
                 self.sizes = np.insert(self.sizes, at[fresh] + count[fresh], 1)
                 self.count[several[fresh]] += 1
                 first = np.cumsum(self.count) - self.count
-            tables[several] += opens
+            tables[every] += opens
         full = self.sizes > 0
         if len(self.count):
             self.count = self.tables()
@@ -651,9 +678,9 @@ class _Tables:
         contexts, customers, held, keys, rest = (np.concatenate(x) for x in zip(*(self.pieces or [empty])))
         self.pieces, self.ready = [], True
         order = np.argsort(contexts)
-        self.contexts, self.customers, self.held = contexts[order], customers[order], held[order]
+        self.contexts, self.customers, self.held = Index(contexts[order]), customers[order], held[order]
         order = np.argsort(keys)
-        self.keys, self.rest = keys[order], rest[order]
+        self.keys, self.rest = Index(keys[order]), rest[order]
 
     def score(self, part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         """(row, score) summed over held words; (row, word, what its pair has, what it has of its base) of the others."""
@@ -667,16 +694,12 @@ class _Tables:
             rows.append(np.frombuffer(after, "<u2" if len(after) * 3 == len(words) * 2 else "<u8").astype(np.int64) + least)
         row = np.concatenate(rows)
         customers, held = np.zeros(len(c)), np.zeros(len(c))
-        for known, n, t in ((self.contexts, self.customers, self.held), m.hot):
-            if len(known):
-                at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-                found = known[at] == c
-                customers[found], held[found] = n[at[found]], t[at[found]]
+        for known, n, t in ((self.contexts, self.customers, self.held), (Index(m.hot[0]), *m.hot[1:])):
+            at, found = known.find(c)
+            customers[found], held[found] = n[at[found]], t[at[found]]
         extra = np.zeros(len(c))
-        if len(self.keys):
-            keys = pairs.keys()
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            extra = np.where(self.keys[at] == keys, self.rest[at], 0.0) / (m.strength + customers)
+        at, found = self.keys.find(pairs.keys())
+        extra[found] = self.rest[at[found]] / (m.strength + customers[found])
         head, base, share, is_held = m.bases(pairs)
         base = base * (m.strength + held) / (m.strength + customers)
         of, inverse = np.unique(row[is_held], return_inverse=True)

@@ -56,3 +56,20 @@ def test_fewer_candidates_nulls_and_nothing(spark):
     assert found(spark, odd, 20) == brute(rows, 20)
     assert found(spark, [], 20) == []
     assert found(spark, [(0, [1])], 20) == []
+
+
+def test_no_pack_is_broadcast(spark, monkeypatch):
+    """Copies of the packs, one for every pack of the other side, never gather on the driver."""
+    monkeypatch.setattr(exact_search, "PACK_ROWS", 16)
+    monkeypatch.setattr(exact_search, "QUERY_ROWS", 4)
+    plans, stored = [], exact_search.stored
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(exact_search, "stored", noted)
+    frame = spark.createDataFrame(vectors(100, 4, 9), "id long, v array<long>")
+    plans.append(top_k(frame, F.col("id") % 20 == 0, 5)._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans)
+    assert sum("SortMergeJoin" in p for p in plans) == 2

@@ -24,6 +24,12 @@ def _pack_of(row: str, packs: int) -> Column:
     return F.pmod(F.xxhash64(row), F.lit(packs)).cast("int")
 
 
+def _apart(side: DataFrame) -> DataFrame:
+    """Never broadcast, however small the files look: a pack is copied for every pack of the other side, and the
+    planner sizes the files before the copies are made, which would all gather on the driver."""
+    return side.hint("merge")
+
+
 def _packs(vectors: DataFrame, packs: int, width: int, lists: int) -> DataFrame:
     """(pack, list, data, sums): vectors cut by dimension; data holds counts, ids, rows and components."""
     cut = [width * i // lists for i in range(lists + 1)]
@@ -137,7 +143,8 @@ def top_k(
         return F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))
 
     # Every query pack meets every candidate pack, list by list.
-    cells = q_side.withColumn("cp", every(n_c)).join(c_side.withColumn("qp", every(n_q)), ["qp", "cp", "list"])
+    def cells(q_side: DataFrame) -> DataFrame:
+        return q_side.withColumn("cp", every(n_c)).join(_apart(c_side.withColumn("qp", every(n_q))), ["qp", "cp", "list"])
 
     def best_of_list(batches):
         for cell in _cells(batches):
@@ -187,18 +194,19 @@ def top_k(
                 i, j, s = best_of(ids, c_row, kept)
                 yield _entries(q_row[i], c_row[j], ids[j], 0, s)
 
-    def with_packs(found: DataFrame) -> DataFrame:
-        """A row per pair of packs: what all lists named there, and the vectors."""
+    def with_packs(found: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+        """A row per pair of packs: what all lists named there, the vectors, and the cutoffs of the queries."""
         by_cell = found.groupBy("qp", "cp").agg(F.collect_list(F.struct("named")).alias("named_by"))
         whole = F.collect_list(F.struct("list", "data"))
         q_all = q_packs.groupBy(F.col("pack").alias("qp")).agg(whole.alias("q_lists"))
+        q_all = q_all if cuts is None else q_all.join(_apart(cuts), "qp")
         c_all = c_packs.groupBy(F.col("pack").alias("cp")).agg(whole.alias("c_lists"))
-        return by_cell.join(q_all, "qp").join(c_all, "cp")
+        return by_cell.join(_apart(q_all), "qp").join(_apart(c_all), "cp")
 
     # 1. Local lists: the places in the packs of each list's best.
     in_list = W.partitionBy("q", "list").orderBy(F.desc("s"), "id", "c")
     first = (
-        cells.mapInArrow(best_of_list, ENTRY).withColumn("n", F.row_number().over(in_list))
+        cells(q_side).mapInArrow(best_of_list, ENTRY).withColumn("n", F.row_number().over(in_list))
         .filter(F.col("n") <= k).select("q", "c").distinct()
         .groupBy(_pack_of("q", n_q).alias("qp"), _pack_of("c", n_c).alias("cp"))
         .agg(F.collect_list(F.struct("q", "c")).alias("pairs"))
@@ -211,7 +219,7 @@ def top_k(
             pairs = np.array([(x["q"], x["c"]) for x in cell["pairs"]], np.int64)
             yield _named(cell, _places(q_row, pairs[:, 0]), _places(c_row, pairs[:, 1]))
 
-    placed = first.join(q_side.filter("list = 0").drop("list"), "qp").join(c_side.filter("list = 0").drop("list"), "cp")
+    placed = first.join(_apart(q_side.filter("list = 0").drop("list")), "qp").join(_apart(c_side.filter("list = 0").drop("list")), "cp")
     placed = placed.mapInArrow(place, NAMED)
     by_score = W.partitionBy("q").orderBy(F.desc("s"), "id", "c")
     known = with_packs(placed).mapInArrow(lambda b: resolve(b, False), ENTRY)
@@ -233,7 +241,7 @@ def top_k(
     above = F.when(F.col("n") == k, F.col("cutoff") - F.col("mean") - slack).otherwise(float("-inf"))
     least = F.when(F.col("n") == k, F.col("cutoff")).otherwise(F.lit(-(1 << 63)))
     cuts = (
-        cutoff.join(means, "q").select("q", above.alias("above"), least.alias("cutoff"))
+        cutoff.join(_apart(means), "q").select("q", above.alias("above"), least.alias("cutoff"))
         .groupBy(_pack_of("q", n_q).alias("qp")).agg(F.collect_list(F.struct("q", "above", "cutoff")).alias("cuts"))
     )
     cuts = stored(cuts, "cutoffs")
@@ -252,10 +260,10 @@ def top_k(
                 found.append((a + i[other], j[other]))
             yield _named(cell, *(np.concatenate(x) for x in zip(*found)))
 
-    sent = cells.join(cuts, "qp").mapInArrow(reaching, NAMED)
+    sent = cells(q_side.join(_apart(cuts), "qp")).mapInArrow(reaching, NAMED)
     # 3. What was sent is resolved.
-    final = with_packs(sent).join(cuts, "qp").mapInArrow(lambda b: resolve(b, True), ENTRY)
+    final = with_packs(sent, cuts).mapInArrow(lambda b: resolve(b, True), ENTRY)
     ranked = final.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
-    return ranked.join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id")), "q").select(
+    return ranked.join(_apart(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"))), "q").select(
         "query_id", "rank", "id", F.col("s").alias("score")
     )

@@ -2,10 +2,11 @@
 
 import pathlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_search import STOP, plain_search, same
+from test_search import STOP, plain_search, plain_terms, same
 
 from vulnspark.operators import search, text_index
 from vulnspark.operators.text_index import SegmentedIndex
@@ -76,3 +77,42 @@ def test_a_generation_keeps_its_tables_only(built):
     index, _ = built
     last = sorted((pathlib.Path(index.path) / "generations").iterdir())[-1]
     assert {p.name for p in last.iterdir() if not p.name.startswith(".")} == {"terms", "docs", "forward", "blocks", "bits", "size"}
+
+
+def test_pairs_are_shuffled_in_rounds(spark, tmp_path, monkeypatch):
+    """A commit deals the pairs of a share of the batches at a time; ids that repeat in no segment, texts without terms."""
+    monkeypatch.setattr(text_index, "CELL_BITS", 2)
+    monkeypatch.setattr(text_index, "ROUND_PARTITIONS", 2)
+    rows = corpus(120, 3)
+    index = SegmentedIndex(spark, str(tmp_path / "index"), ["severity", "score"], STOP)
+    schema = "id string, text string, severity string, score double"
+    for part in (rows[:50], rows[50:]):
+        index.add(spark.createDataFrame(part, schema), "id", F.col("text"))
+    index.commit()
+    for name in ("forward", "blocks"):
+        written = {p.name.split("-", 2)[2] for p in (tmp_path / "index/generations/00000000" / name).glob("part-*")}
+        assert len(written) == 4
+    wanted = plain_search("w1 w2 w30", [(r[0], r[1]) for r in rows])
+    for top_k in (5, None):
+        same([(r.doc, r.relevance) for r in index.search("w1 w2 w30", top_k).collect()], wanted[:top_k])
+    numbers = [r.number for r in index.table("docs").collect()]
+    assert len(numbers) == len(set(numbers)) == 120 and max(numbers) < 120 + 4 * 8
+    terms = [(r.term, r.df) for r in index.table("terms").collect()]
+    counted = Counter(t for r in rows for t in set(plain_terms(r[1])))
+    assert sorted(terms) == sorted(counted.items())
+
+
+def test_an_empty_index(spark, tmp_path):
+    index = SegmentedIndex(spark, str(tmp_path / "index"), ["severity"], STOP)
+    index.add(spark.createDataFrame([], "id string, text string, severity string"), "id", F.col("text"))
+    index.commit()
+    assert index.search("w1", 5).count() == 0
+    assert index.search_selection("w1", index.select({"severity": ["High"]}), 5).count() == 0
+
+
+def test_pairs_are_not_dealt_by_document_for_a_selection(built):
+    """Documents are chosen by bits; the pairs of all others are neither joined nor shuffled."""
+    index, _ = built
+    found = index.search_selection("w1 w2", index.select({"severity": ["High"]}), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
